@@ -33,9 +33,11 @@ def model_of(actions: DataFrame) -> residue.Model:
     return residue.fit(rows) if rows else residue.Model({}, (-4.0, -4.0, -4.0))
 
 
-def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...] = ("id",), cases: bool | None = None, model=None) -> DataFrame:
+def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...] = ("id",), cases: bool | None = None, model=None, post=None) -> DataFrame:
     """Rows of ``actions`` with the columns ``keep`` and those of ``want``.
 
+    post: (names, DDL types, function); the function makes those columns, as
+    Arrow arrays, of the batch's bodies in the same Python pass.
     cases: True keeps only problem 7's cases, False only the others, None all.
     Null and empty texts have no site lines, an empty body and are no case
     (unless the headline is).
@@ -45,13 +47,17 @@ def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...]
     names = [*keep, *want]
     types = dict(actions.dtypes)
     schema = ", ".join(f"`{c}` {types[c] if c in keep else FIELDS[c][0]}" for c in names)
-    need_site = any(c in want for c in ("site", "body", "tail"))
+    if post:
+        names += post[0]
+        schema += "".join(f", {n} {t}" for n, t in zip(post[0], post[1]))
+    need_body = bool(post) or "body" in want or "tail" in want
+    need_site = need_body or "site" in want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = residue.Reader(shared.value)
         for b in batches:
             heads, texts = b.column("headline").to_pylist(), b.column("raw_text").to_pylist()
-            rows, out = [], {c: [] for c in want}
+            rows, bodies, out = [], [], {c: [] for c in want}
             for i, (h, t) in enumerate(zip(heads, texts)):
                 lines = reader.lines(t)
                 case = reader.is_case(h, t, lines)
@@ -63,15 +69,18 @@ def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...]
                     out["is_case"].append(case)
                 if "site" in out:
                     out["site"].append(site)
-                if "body" in out or "tail" in out:
+                if need_body:
                     drop = set(site)
                     body = "\n".join(x for n, x in enumerate(lines[0], 1) if n not in drop) if t else ""
+                    bodies.append(body)
                     if "body" in out:
                         out["body"].append(body)
                     if "tail" in out:
                         out["tail"].append(body.rstrip()[-TAIL_CHARS:])
             kept = b.select(list(keep)).take(pa.array(rows, pa.int64())) if len(rows) < b.num_rows else b.select(list(keep))
             cols = [*kept.columns, *(pa.array(out[c], FIELDS[c][1]) for c in want)]
+            if post:
+                cols += post[2](bodies)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = actions.select(*[F.col(c) for c in dict.fromkeys([*keep, "headline", "raw_text"])])
