@@ -1,13 +1,14 @@
 """Problem 3: texts cut off by field limits, in SQL over word trigrams.
 
-A text is read as tokens: words and sentence marks, where words with a capital
-count as ``A`` and numbers as ``0``, so that names don't scatter the counts.
-Trigrams are counted over the whole collection, inside texts and at their ends.
-The final trigram of a text is joined with its counts: one that is frequent
-inside texts but almost never ends one shows a break.  Where a final trigram is
-rare (cuts in mid-word make words that nobody else has), its shape is looked
-up in place of it.  An exact check follows: a text that ends in a full stop,
-question or exclamation mark (closing quotes and brackets aside) isn't cut.
+A text is read as words between blanks, each with its closing mark; words with
+a capital count as ``A`` and numbers as ``0``, so that names don't scatter the
+counts.  Trigrams are counted over the whole collection, inside texts and at
+their ends.  The final trigram of a text is joined with its counts: one that is
+frequent inside texts but almost never ends one shows a break.  Where a final
+trigram is rare (cuts in mid-word make words that nobody else has), its shape
+is looked up in place of it.  An exact check follows: a text that ends in a
+full stop, question or exclamation mark (closing quotes and brackets aside)
+isn't cut.
 """
 
 from __future__ import annotations
@@ -19,42 +20,48 @@ from pyspark.sql import DataFrame
 #: A trigram is frequent from this many occurrences; rarer ones are judged by their shape.
 FREQUENT = 20
 #: Highest share of a trigram's occurrences at ends for it to be almost never terminal.
-TERMINAL = 0.02
+TERMINAL = 0.2
 
-TOKENS = r"\\p{L}[\\p{L}\\p{N}]*|\\p{N}[\\p{L}\\p{N}]*|[.!?]"
 #: What a cut may leave behind: dots, a broken character, entity or tag.
-MARKS = r"(?:\\s|\\.\\.+|…|\uFFFD|&#?\\w{0,6}$|<\\/?\\w{0,6}$|\\[\\s*(?:…|\\.\\.\\.|more|cut|truncated|continued)[^\\]]*\\]?$|\\((?:more|continued|cont\\.?|truncated)\\)$|(?i:\\bread more$|\\bcontinue reading$))+$"
+MARKS = r"(?:\\s|\\.\\.+|…|�|&#?\\w{0,6}$|<\\/?\\w{0,6}$|\\[\\s*(?:…|\\.\\.\\.|more|cut|truncated|continued)[^\\]]*\\]?$|\\((?:more|continued|cont\\.?|truncated)\\)$|(?i:\\bread more$|\\bcontinue reading$))+$"
+#: Those marks, quotes and brackets are looked for in so many last characters.
+LAST = 200
+
+
+#: Of a trigram g: A, 0 or a for each word, and a mark for each sentence that ends.
+SHAPE = """regexp_replace(regexp_replace(g, '[^ .!?:"”’)A0^]+', 'a'), '[.!?:"”’)]+', '.')"""
 
 SQL = """
-WITH tokens AS (
-  SELECT id, state, transform(
-           regexp_extract_all(regexp_replace(body, '{marks}', ''), '{tokens}', 0),
-           w -> CASE WHEN w RLIKE '^\\\\p{{Lu}}' THEN 'A' WHEN w RLIKE '^\\\\p{{N}}' THEN '0' ELSE w END) AS t,
-         NOT rtrim('"”’)]\\' ', regexp_replace(body, '{marks}', '')) RLIKE '[.!?]$' OR regexp_replace(body, '\\\\s+$', '') RLIKE '(?:\\\\.\\\\.\\\\.|…)["”’)\\\\]]?$' AS open
-  FROM {bodies} WHERE trim(body) <> ''
-), padded AS (
-  SELECT id, state, open, concat(array('^', '^'), t) AS t FROM tokens WHERE size(t) > 0
+WITH ended AS (
+  SELECT id, state, rtrim(left(body, greatest(length(body) - {last}, 0))) AS head, right(body, {last}) AS tail,
+         length(body) > {last} AND substr(body, length(body) - {last}, 1) IN (' ', '\n') AS blank
+  FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> ''
+), cut AS (
+  SELECT id, state, concat(head, CASE WHEN blank THEN ' ' ELSE '' END, regexp_replace(tail, '{marks}', '')) AS body,
+         regexp_replace(tail, '{marks}', '') AS tail,
+         tail RLIKE '(?:\\\\.\\\\.|…)["”’)\\\\]]?$' AS dots
+  FROM ended
+), tokens AS (
+  SELECT id, state, dots OR NOT tail RLIKE '[.!?]["”’\\')\\\\]]*$' AS open,
+         concat(array('^', '^'), split(translate(regexp_replace(regexp_replace(body, '\\\\b\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{N}}]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n\t', '  '), ' ')) AS t
+  FROM cut WHERE body <> ''
 ), counts AS (
-  SELECT g, count(*) AS seen, sum(CAST(pos = last AS INT)) AS at_end
-  FROM (SELECT size(t) - 3 AS last, posexplode(transform(sequence(1, size(t) - 2), i -> xxhash64(t[i - 1], t[i], t[i + 1]))) AS (pos, g) FROM padded)
-  GROUP BY g
-), shapes AS (
-  SELECT g, count(*) AS seen, sum(CAST(pos = last AS INT)) AS at_end
-  FROM (
-    SELECT size(s) - 3 AS last, posexplode(transform(sequence(1, size(s) - 2), i -> concat(s[i - 1], s[i], s[i + 1]))) AS (pos, g)
-    FROM (SELECT transform(t, w -> CASE WHEN w RLIKE '^[.!?^A0]' THEN w ELSE 'a' END) AS s FROM padded)
-  )
-  GROUP BY g
+  SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen
+  FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) AS (w0, w1, w2) FROM tokens) WHERE w2 IS NOT NULL
+  GROUP BY 1
 ), finals AS (
-  SELECT id, state, open, xxhash64(t[n - 3], t[n - 2], t[n - 1]) AS g,
-         array_join(transform(slice(t, n - 2, 3), w -> CASE WHEN w RLIKE '^[.!?^A0]' THEN w ELSE 'a' END), '') AS s
-  FROM (SELECT *, size(t) AS n FROM padded)
-), judged AS (
-  SELECT f.id, f.state, f.open,
-         CASE WHEN c.seen >= {frequent} THEN c.at_end / c.seen ELSE s.at_end / s.seen END AS terminal_share
-  FROM finals f JOIN counts c ON f.g = c.g JOIN shapes s ON f.s = s.g
+  SELECT id, state, open, g, {shape} AS s
+  FROM (SELECT id, state, open, concat_ws(' ', t[size(t) - 3], t[size(t) - 2], t[size(t) - 1]) AS g FROM tokens)
+), ends AS (
+  SELECT g, s, count(*) AS at_end FROM finals GROUP BY g, s
+), trigram AS (
+  SELECT e.g, c.seen, e.at_end FROM ends e JOIN counts c ON e.g = c.g
+), shape AS (
+  SELECT c.s, c.seen, e.at_end FROM (SELECT {shape} AS s, sum(seen) AS seen FROM counts GROUP BY 1) c JOIN (SELECT s, sum(at_end) AS at_end FROM ends GROUP BY s) e ON c.s = e.s
 )
-SELECT id, state, open, terminal_share, open AND terminal_share <= {terminal} AS truncated FROM judged
+SELECT f.id, f.state, f.open, CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE s.at_end / s.seen END AS terminal_share,
+       f.open AND CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE s.at_end / s.seen END <= {terminal} AS truncated
+FROM finals f JOIN trigram t ON f.g = t.g JOIN shape s ON f.s = s.s
 """
 
 
@@ -67,4 +74,9 @@ def judge(bodies: DataFrame) -> DataFrame:
     """
     view = f"bodies_{uuid.uuid4().hex}"
     bodies.createOrReplaceTempView(view)
-    return bodies.sparkSession.sql(SQL.format(bodies=view, marks=MARKS, tokens=TOKENS, frequent=FREQUENT, terminal=TERMINAL))
+    return bodies.sparkSession.sql(
+        SQL.format(
+            bodies=view, marks=MARKS, last=LAST, frequent=FREQUENT, terminal=TERMINAL,
+            shape=SHAPE,
+        )
+    )
