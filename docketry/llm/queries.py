@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import components, lines, neardup, pages, repetition, truncation
-from docketry.llm.common import cut, stash, table
+from docketry.llm.common import stash, table
 
 
 #: Two bodies are a case from this similarity of their three-word sequences up (TESTDATA.md).
@@ -29,7 +29,7 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its class and links, for sequences of five words and a similarity from 0.8 up."""
-    sk = cut(neardup.sketches(table(spark, d, "documents"), "doc_id", "text", 5))
+    sk = stash(neardup.sketches(table(spark, d, "documents"), "doc_id", "text", 5))
     return neardup.classes(sk, neardup.class_links(sk, 0.8), "doc_id")
 
 
