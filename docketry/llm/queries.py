@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components, lines, neardup, pages, repetition, truncation
+from docketry.llm import components, lines, names, neardup, pages, repetition, truncation
 from docketry.llm.common import stash, table
 
 
@@ -55,6 +55,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.components(table(spark, d, "dedup_matches")).select(F.col("id").alias("action_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of defendants rows that mean the same person or organisation."""
+    return names.pairs(names.entities(table(spark, d, "defendants")))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every defendants row that names somebody, with its entity."""
+    return names.entities(table(spark, d, "defendants"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Each line that recurs excessively in its state."""
     a = table(spark, d, "enforcement_actions")
@@ -110,6 +120,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_rates": p3_rates,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_entities": p5_entities,
     "p6_found": p6_found,
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
