@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import components, lines, names, neardup, pages, repetition, truncation
+from docketry.llm import components, lines, mixing, names, neardup, packing, pages, repetition, tokens, truncation
 from docketry.llm.common import stash, table
 
 
@@ -83,6 +83,32 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.without(a, lines.frequent_lines(a))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document with its container, for each capacity."""
+    sizes = stash(tokens.sizes(table(spark, d, "documents")))
+    return packing.pack(sizes, table(spark, d, "pack_limits"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and their fill, by capacity."""
+    return packing.report(p8_packed(spark, d), table(spark, d, "pack_limits"))
+
+
+def _mix(spark: SparkSession, d: str):
+    sizes = stash(tokens.sizes(table(spark, d, "documents"), keep=("source",)))
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix, in order of its slots."""
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of each source."""
+    return mixing.shares(*_mix(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which at least 0.4 of the words are repeated content."""
     return repetition.repetitive(table(spark, d, "documents")).select("doc_id")
@@ -126,6 +152,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_sequences": p6_sequences,
     "p6_cleaned": p6_cleaned,
     "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
