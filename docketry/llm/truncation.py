@@ -17,6 +17,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from docketry.llm.common import cut
+
 #: A trigram is frequent from this many occurrences; rarer ones are judged by their shape.
 FREQUENT = 20
 #: Highest share of a trigram's occurrences at ends for it to be almost never terminal.
@@ -31,37 +33,44 @@ LAST = 200
 #: Of a trigram g: A, 0 or a for each word, and a mark for each sentence that ends.
 SHAPE = """regexp_replace(regexp_replace(g, '[^ .!?:"”’)A0^]+', 'a'), '[.!?:"”’)]+', '.')"""
 
-SQL = """
-WITH ended AS (
-  SELECT id, state, rtrim(left(body, greatest(length(body) - {last}, 0))) AS head, right(body, {last}) AS tail,
-         length(body) > {last} AND substr(body, length(body) - {last}, 1) IN (' ', '\n') AS blank
+#: Common to both statements: bodies without what a cut leaves behind, and the masked words of a text.
+_CUT = """
+ended AS (
+  SELECT id, state, left(body, greatest(length(body) - {last}, 0)) AS head, right(body, {last}) AS tail
   FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> ''
 ), cut AS (
-  SELECT id, state, concat(head, CASE WHEN blank THEN ' ' ELSE '' END, regexp_replace(tail, '{marks}', '')) AS body,
-         regexp_replace(tail, '{marks}', '') AS tail,
-         tail RLIKE '(?:\\\\.\\\\.|…)["”’)\\\\]]?$' AS dots
-  FROM ended
-), tokens AS (
-  SELECT id, state, dots OR NOT tail RLIKE '[.!?]["”’\\')\\\\]]*$' AS open,
-         concat(array('^', '^'), split(translate(regexp_replace(regexp_replace(body, '\\\\b\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{N}}]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n\t', '  '), ' ')) AS t
-  FROM cut WHERE body <> ''
-), counts AS (
-  SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen
-  FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) AS (w0, w1, w2) FROM tokens) WHERE w2 IS NOT NULL
-  GROUP BY 1
+  SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail, tail RLIKE '(?:\\\\.\\\\.|…)["”’)\\\\]]?$' AS dots FROM ended
+)
+"""
+_WORDS = "split(translate(regexp_replace(regexp_replace({t}, '\\\\b\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{N}}]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n\t', '  '), ' ')"
+
+#: Trigrams of all texts with their number.
+COUNTS = """
+WITH {cut}, tokens AS (
+  SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut) WHERE text <> ''
+)
+SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen
+FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) AS (w0, w1, w2) FROM tokens) WHERE w2 IS NOT NULL
+GROUP BY 1
+"""
+
+#: Final trigrams, joined with their counts; the last {last} characters hold them.
+SQL = """
+WITH {cut}, tokens AS (
+  SELECT id, state, dots OR NOT tail RLIKE '[.!?]["”’\\')\\\\]]*$' AS open, concat(array('^', '^'), {words}) AS t FROM (SELECT *, tail AS text FROM cut) WHERE text <> ''
 ), finals AS (
   SELECT id, state, open, g, {shape} AS s
   FROM (SELECT id, state, open, concat_ws(' ', t[size(t) - 3], t[size(t) - 2], t[size(t) - 1]) AS g FROM tokens)
 ), ends AS (
   SELECT g, s, count(*) AS at_end FROM finals GROUP BY g, s
 ), trigram AS (
-  SELECT e.g, c.seen, e.at_end FROM ends e JOIN counts c ON e.g = c.g
+  SELECT e.g, c.seen, e.at_end FROM ends e JOIN {counts} c ON e.g = c.g
 ), shape AS (
-  SELECT c.s, c.seen, e.at_end FROM (SELECT {shape} AS s, sum(seen) AS seen FROM counts GROUP BY 1) c JOIN (SELECT s, sum(at_end) AS at_end FROM ends GROUP BY s) e ON c.s = e.s
+  SELECT c.s, c.seen, e.at_end FROM (SELECT {shape} AS s, sum(seen) AS seen FROM {counts} GROUP BY 1) c JOIN (SELECT s, sum(at_end) AS at_end FROM ends GROUP BY s) e ON c.s = e.s
 )
-SELECT f.id, f.state, f.open, CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE s.at_end / s.seen END AS terminal_share,
-       f.open AND CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE s.at_end / s.seen END <= {terminal} AS truncated
-FROM finals f JOIN trigram t ON f.g = t.g JOIN shape s ON f.s = s.s
+SELECT f.id, f.state, f.open, CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE coalesce(s.at_end / s.seen, 0) END AS terminal_share,
+       f.open AND CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE coalesce(s.at_end / s.seen, 0) END <= {terminal} AS truncated
+FROM finals f LEFT JOIN trigram t ON f.g = t.g LEFT JOIN shape s ON f.s = s.s
 """
 
 
@@ -72,11 +81,8 @@ def judge(bodies: DataFrame) -> DataFrame:
     The collection's counts need a collection: in one of a few texts every
     trigram is rare and shapes decide.
     """
-    view = f"bodies_{uuid.uuid4().hex}"
-    bodies.createOrReplaceTempView(view)
-    return bodies.sparkSession.sql(
-        SQL.format(
-            bodies=view, marks=MARKS, last=LAST, frequent=FREQUENT, terminal=TERMINAL,
-            shape=SHAPE,
-        )
-    )
+    spark, tag = bodies.sparkSession, uuid.uuid4().hex
+    bodies.createOrReplaceTempView(f"bodies_{tag}")
+    common = {"cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST}
+    cut(spark.sql(COUNTS.format(**common))).createOrReplaceTempView(f"counts_{tag}")
+    return spark.sql(SQL.format(**common, counts=f"counts_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))
