@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.operators.graph import labels
 
@@ -42,12 +43,12 @@ def token_sort(a: str | None, b: str | None) -> int:
     return 100 if x == y else round(200 * _lcs(x, y) / (len(x) + len(y)))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Highest token_sort of any two names of two arrays; 0 if either is empty."""
     out = []
@@ -97,7 +98,7 @@ def clusters(pairs: DataFrame, cand: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("id", "state", "headline", "defendants"), F.struct("date", "id"))
     out = m.groupBy("label").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("state")).alias("states"), F.max(F.when(F.col("amount") != 0, F.col("amount"))).alias("total_amount"), first.alias("first"))
     name = F.coalesce(F.expr("nullif(array_join(slice(first.defendants, 1, 2), ', '), '')"), F.substring("first.headline", 1, 80))
-    return out.select(F.sha2(F.array_join("ids", ","), 256).alias("cluster_id"), F.size("ids").alias("members"), F.array_join("states", ",").alias("states"), F.col("first.state").alias("lead_state"), F.col("first.id").alias("lead_action"), name.alias("name"), "total_amount")
+    return out.where(F.size("ids") > 1).select(F.sha2(F.array_join("ids", ","), 256).alias("cluster_id"), F.size("ids").alias("members"), F.array_join("states", ",").alias("states"), F.col("first.state").alias("lead_state"), F.col("first.id").alias("lead_action"), name.alias("name"), "total_amount")
 
 
 def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 365, prefix: int = 5000) -> DataFrame:
