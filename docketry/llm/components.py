@@ -1,10 +1,12 @@
 """Problem 4: one group identifier for everything linked directly or through others.
 
-Vertices of degree one are stripped for a few rounds, chains of vertices of
-degree two are compressed by list ranking (pointer doubling over directed
-edges, so that a chain of n takes log n rounds), the reduced core is solved by
-alternating large-star and small-star steps, and the labels are carried back to
-the chains and the stripped vertices.  Every step is a shuffle join or a
+Vertices of degree one are stripped, chains of vertices of degree two are
+compressed by list ranking (pointer doubling over directed edges, so that a
+chain of n takes log n rounds), what then has degree one is stripped again,
+the reduced core is solved, and the labels are carried back to the chains and
+the stripped vertices.  The core is solved by alternating large-star and
+small-star steps until it has converged or is down to CORE_EDGES links, which
+one task then joins by union and find.  Every step is a shuffle join or a
 partially aggregated group-by on vertex ids; nothing but counts reaches the
 driver.  Hot vertices are safe: a vertex's edges are never gathered in one
 row, only counted or reduced to a minimum.
@@ -12,13 +14,16 @@ row, only counted or reduced to a minimum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cut
 
 #: Rounds of stripping before chains are compressed; what is left goes on.
-STRIP_ROUNDS = 3
+STRIP_ROUNDS = 2
+#: Links of a core that one task may solve: about 150 MB.
+CORE_EDGES = 500_000
 #: Doubling rounds and star rounds, at most: 2**40 vertices.
 MOST_ROUNDS = 40
 
@@ -60,22 +65,19 @@ def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = _both(e)
     inner = d.groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi")).where("n = 2").select(F.col("x").alias("y"), "lo", "hi")
     arcs = d.join(inner, "y")
-    if arcs.isEmpty():
-        return e, None
     other = F.when(F.col("x") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
     # the arc (x, y); its path so far ends in (px, py), inner means that py still is one; low is the smallest id passed
     p = arcs.select("x", "y", F.col("y").alias("px"), other.alias("py"), F.col("y").alias("low"))
     ids = inner.select(F.col("y").alias("py"), F.lit(True).alias("inner"))
-    p = cut(p.join(ids, "py", "left").select("x", "y", "px", "py", "low", F.coalesce("inner", F.lit(False)).alias("inner")))
+    p, open_ = _counted(p.join(ids, "py", "left").select("x", "y", "px", "py", "low", F.coalesce("inner", F.lit(False)).alias("inner")))
     last = -1
     for k in range(MOST_ROUNDS):
-        open_ = p.where("inner").count()
         # a round that closes no path leaves cycles only; their minimum is known once 2**k reaches round
         if open_ == 0 or open_ == last and 2**k >= open_:
             break
         last = open_
         nxt = p.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("low").alias("qlow"), F.col("inner").alias("qinner"))
-        p = cut(
+        p, open_ = _counted(
             p.join(nxt, ["px", "py"], "left").select(
                 "x", "y", F.when(F.col("inner"), F.col("qx")).otherwise(F.col("px")).alias("px"), F.when(F.col("inner"), F.col("qy")).otherwise(F.col("py")).alias("py"),
                 F.when(F.col("inner"), F.least("low", "qlow")).otherwise(F.col("low")).alias("low"), F.when(F.col("inner"), F.col("qinner")).otherwise(F.col("inner")).alias("inner"),
@@ -88,20 +90,49 @@ def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = ends.select("y")
     kept = e.join(gone.select(F.col("y").alias("u")), "u", "left_anti").join(gone.select(F.col("y").alias("v")), "v", "left_anti")
     links = ends.where("NOT cycle AND a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    return cut(kept.select("u", "v").union(links).distinct()), cut(parents.where("x <> parent"))
+    return cut(kept.select("u", "v").union(links).distinct()), parents.where("x <> parent")
 
 
-def _core(e: DataFrame) -> DataFrame:
-    """(x, label) of the core's vertices by large-star and small-star steps."""
+def _counted(p: DataFrame) -> tuple[DataFrame, int]:
+    """``p`` materialised, and how many of its arcs still have an inner end; both in one job."""
+    seen = Observation()
+    p = cut(p.observe(seen, F.count_if("inner").alias("open")))
+    return p, int(seen.get["open"])
+
+
+def _union(batches):
+    """(x, label) of one task's links; label is the smallest id of each component."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+            u, v = root(u), root(v)
+            if u != v:
+                up[max(u, v)] = min(u, v)
+    names = list(up)
+    for i in range(0, len(names), 50_000):
+        part = names[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["x", "label"])
+
+
+def _core(e: DataFrame, edges: int = CORE_EDGES) -> DataFrame:
+    """(x, label) of the core's vertices."""
     for _ in range(MOST_ROUNDS):
+        if e.count() <= edges:
+            return e.coalesce(1).mapInArrow(_union, "x string, label string")
         # large star: every larger neighbour of x is linked to the smallest one of x and its neighbours
         d = _both(e)
         m = d.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
         big = d.join(m, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
         # small star: x and its smaller neighbours are linked to the smallest of them
         s = big.groupBy("v").agg(F.min("u").alias("m"))
-        small = big.join(s, "v").select("m", F.explode(F.array("u", "v")).alias("w")).where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct()
-        n = cut(small)
+        n = cut(big.join(s, "v").select("m", F.explode(F.array("u", "v")).alias("w")).where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct())
         same = n.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(n, ["u", "v"], "left_anti").isEmpty()
         e = n
         if same:
@@ -109,37 +140,27 @@ def _core(e: DataFrame) -> DataFrame:
     return e.groupBy("v").agg(F.min("u").alias("label")).select(F.col("v").alias("x"), "label")
 
 
-def groups(links: DataFrame, strip_rounds: int = STRIP_ROUNDS) -> DataFrame:
+def groups(links: DataFrame, strip_rounds: int = STRIP_ROUNDS, core_edges: int = CORE_EDGES) -> DataFrame:
     """(id, group_id) of every vertex of ``links`` (u, v); group_id is the smallest id of the group.
 
     An empty input gives an empty result; repeated and reversed links make no difference.
     """
-    e = cut(links.select("u", "v"))
-    vertices = e.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+    first = e = cut(links.select("u", "v"))
     removed: list[DataFrame] = []
     for _ in range(strip_rounds):
-        left, gone = _strip(e)
-        if gone.isEmpty():
-            break
-        removed.append(gone)
-        e = left
-    while not e.isEmpty():
-        left, chain = _compress(e)
-        if chain is None:
-            break
-        removed.append(chain)
-        e = left
-        left, gone = _strip(e) if not e.isEmpty() else (e, None)
-        if gone is None or gone.isEmpty():
-            break
+        e, gone = _strip(e)
         removed.append(gone)
-        e = left
-    label = vertices.limit(0).select("x", F.col("x").alias("label")) if e.isEmpty() else cut(_core(e))
+    e, chains = _compress(e)
+    removed.append(chains)
+    e, gone = _strip(e)
+    removed.append(gone)
+    label = cut(_core(e, core_edges))
     for gone in reversed(removed):
         # a parent without a label is the root of its own tree
         back = gone.join(label.select(F.col("x").alias("parent"), F.col("label").alias("of")), "parent", "left").select("x", F.coalesce("of", "parent").alias("label"))
         label = cut(label.unionByName(back))
-    full = vertices.join(label, "x", "left").select("x", F.coalesce("label", "x").alias("label"))
+    vertices = first.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+    full = cut(vertices.join(label, "x", "left").select("x", F.coalesce("label", "x").alias("label")))
     low = full.groupBy("label").agg(F.min("x").alias("group_id"))
     return full.join(low, "label").select(F.col("x").alias("id"), "group_id")
 
