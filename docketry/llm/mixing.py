@@ -86,16 +86,17 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, block: i
     live = [r for r in rows if r["give"] > 0]
     if not live:
         return s.limit(0).select(F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("repeat"), key, "tokens"), rows
-    whole = sum(r["give"] for r in live)
-    slots = math.ceil(whole / block)
+    for r in live:
+        r["blocks"] = math.ceil(r["tokens"] / block)
+        # slots of a source: what it gives over what one of its blocks holds on average
+        r["quota"] = max(1, min(round(r["give"] * r["blocks"] / r["tokens"]), r["repeats"] * r["blocks"]))
+    slots = sum(r["quota"] for r in live)
     # cumulative weights of the sources: at most as many as targets
     steps, run = [], 0.0
     for r in live:
-        run += r["give"] / whole
+        run += r["quota"] / slots
         steps.append(run)
-    for r in live:
-        r["blocks"] = math.ceil(r["tokens"] / block)
-        r["quota"] = max(1, round(r["give"] / block))
+    slots += len(live)  # a source whose points come late has its quota in the end, too
     i = spark.range(0, slots, 1, max(1, min(slots // CHUNK + 1, 10_000)))
     u = F.pmod(F.col("id") * F.lit(PHI) + F.lit(0.5), F.lit(1.0))
     names = F.array(*[F.lit(r["source"]) for r in live])

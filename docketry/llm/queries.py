@@ -94,9 +94,10 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(p8_packed(spark, d), table(spark, d, "pack_limits"))
 
 
-def _mix(spark: SparkSession, d: str):
+def _mix(spark: SparkSession, d: str, whole: bool = False):
     sizes = stash(tokens.sizes(table(spark, d, "documents"), keep=("source",)))
-    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+    total = sizes.agg(F.sum("tokens")).first()[0] if whole else None
+    return mixing.mix(sizes, table(spark, d, "mix_targets"), total)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +110,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_mix(spark, d))
 
 
+def p9_whole_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same for a mix as large as all documents together: scarce sources reach their repeats and fall short."""
+    return mixing.shares(*_mix(spark, d, whole=True))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents in which at least 0.4 of the words are repeated content."""
     return repetition.repetitive(table(spark, d, "documents")).select("doc_id")
@@ -156,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_report": p8_report,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_whole_shares": p9_whole_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
