@@ -101,9 +101,10 @@ def clusters(pairs: DataFrame, cand: DataFrame) -> DataFrame:
     return out.where(F.size("ids") > 1).select(F.sha2(F.array_join("ids", ","), 256).alias("cluster_id"), F.size("ids").alias("members"), F.array_join("states", ",").alias("states"), F.col("first.state").alias("lead_state"), F.col("first.id").alias("lead_action"), name.alias("name"), "total_amount")
 
 
-def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 365, prefix: int = 5000) -> DataFrame:
+def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 365, prefix: int = 5000, multistate: tuple[float, int] | None = None) -> DataFrame:
     """Greedy settlement groups: the largest unclaimed amount seeds a group and claims what lies within ``tolerance`` and ``days`` of it.
 
+    multistate: another (tolerance, days) for seeds that are multistate.
     rows: (id, state, date, amount, headline, multistate).  Only amounts within
     the tolerance of a seed can join it, and seeds go down in amount, so the
     ``top`` groups lie in a prefix of the amounts.  The prefix read is bounded
@@ -116,11 +117,12 @@ def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 3
         groups, left = [], list(data)
         while left and len(groups) < top:
             seed = left[0]
-            near = [r for r in left if abs(r["amount"] - seed["amount"]) < float(tolerance) * float(max(seed["amount"], 1)) and (abs((r["date"] - seed["date"]).days) if r["date"] and seed["date"] else 9999) <= days or r["id"] == seed["id"]]
+            tol, most = multistate if multistate and seed["multistate"] else (tolerance, days)
+            near = [r for r in left if float(abs(r["amount"] - seed["amount"])) < tol * float(max(seed["amount"], 1)) and (abs((r["date"] - seed["date"]).days) if r["date"] and seed["date"] else 9999) <= most or r["id"] == seed["id"]]
             ids = {r["id"] for r in near}
             groups.append((len(groups) + 1, seed["id"], seed["headline"], seed["amount"], sorted({r["state"] for r in near}), len(near), len({r["state"] for r in near}) > 1 or bool(seed["multistate"])))
             left = [r for r in left if r["id"] not in ids]
-        complete = len(data) < prefix or (len(groups) == top and float(data[-1]["amount"]) < (1 - tolerance) * float(groups[-1][3]))
+        complete = len(data) < prefix or (len(groups) == top and float(data[-1]["amount"]) < (1 - max(tolerance, multistate[0] if multistate else 0.0)) * float(groups[-1][3]))
         if complete:
             break
         prefix *= 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import text as X
 from docketry.operators import extract as E
 from docketry.operators import graph, matching
-from docketry.plans.catalog import ENFORCEMENT
+from docketry.plans.catalog import ACTIVE, ENFORCEMENT
 from docketry.sources import sinks, web
 from docketry.streaming import ingest
 from docketry.tables import load
@@ -108,10 +108,29 @@ def l05_labels(s, d):
     return graph.labels(m, "action_id_a", "action_id_b")
 
 
-def l07_settlement_bands(s, d):
+def _amounts(s, d, scope):
     m = load(s, d, "monetary_terms").select(F.col("action_id").alias("id"), F.col("total_amount").alias("amount"))
-    a = _actions(s, d).where(ENFORCEMENT).select("id", "state", F.col("date_announced").alias("date"), "headline", F.col("is_multistate").alias("multistate"))
-    return matching.bands(a.join(m, "id"))
+    a = _actions(s, d).where(scope).select("id", "state", F.col("date_announced").alias("date"), "headline", F.col("is_multistate").alias("multistate"))
+    return a.join(m, "id")
+
+
+def o22_largest_settlements(s, d):
+    """The ten largest settlements, records of one settlement together."""
+    return matching.bands(_amounts(s, d, ACTIVE))
+
+
+def o23_top_multistate(s, d):
+    return o22_largest_settlements(s, d).where("multistate").orderBy("rank")
+
+
+def o33_dash_settlements(s, d):
+    """Wider bands around multistate seeds; of groups with the same amount the first stays."""
+    b = matching.bands(_amounts(s, d, ENFORCEMENT), top=20, multistate=(0.05, 1460))
+    return b.groupBy("amount").agg(F.min(F.struct("rank", "seed", "headline", "states", "members", "multistate")).alias("g")).select("g.*", "amount").orderBy("rank").limit(10)
+
+
+def l07_settlement_bands(s, d):
+    return matching.bands(_amounts(s, d, ENFORCEMENT))
 
 
 def l10_headline_first(s, d):
@@ -148,7 +167,7 @@ def x03_sessions(s, d):
     return ingest.sessions(s.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).select("user_id", F.col("start").alias("first_ts"), F.col("n").cast("bigint").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (i02_html_documents, i04_listing_links, i09_dollar_amounts, i10_largest_amount, i12_settlement_amount, i13_components, i14_dates, i16_statutes, i18_parties, i22_summary, j02_patterns, j04_action_type, j06_multistate, j07_categories, j11_extract, k01_clean_names, k04_resolve, k10_token_sort, l04_duplicate_pairs, l05_clusters, l05_labels, l07_settlement_bands, l10_headline_first, m01_new_rows, x02_tumbling, x03_sessions)}
+QUERIES = {f.__name__: f for f in (i02_html_documents, i04_listing_links, i09_dollar_amounts, i10_largest_amount, i12_settlement_amount, i13_components, i14_dates, i16_statutes, i18_parties, i22_summary, j02_patterns, j04_action_type, j06_multistate, j07_categories, j11_extract, k01_clean_names, k04_resolve, k10_token_sort, l04_duplicate_pairs, l05_clusters, l05_labels, l07_settlement_bands, o22_largest_settlements, o23_top_multistate, o33_dash_settlements, l10_headline_first, m01_new_rows, x02_tumbling, x03_sessions)}
 
 
 def _re(p: str) -> str:
