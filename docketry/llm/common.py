@@ -7,12 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
-#: The same language for Java's regex engine.
-WORD_JAVA = r"[\p{L}\p{N}]+"
-NOT_WORD_JAVA = r"[^\p{L}\p{N}]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,23 +42,3 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Let every core take part when the input comes in fewer splits than there are cores.
-
-    Only the split size of the scan is changed in effect: a table in few large
-    row groups is redistributed round-robin by row content.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
-def lit_set(values) -> "F.Column":
-    return F.array(*[F.lit(v) for v in values])
