@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import pyarrow as pa
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from docketry.llm.common import cut
 from docketry.llm.components import groups
 
+#: Keys of one form that are compared in one group; more are spread over pairs of tiles.
+TILE = 1000
+
 #: Kinds of company and their abbreviations.
 KINDS = {
     "associates": "associates assoc assocs assc asscs associate", "group": "group grp grps", "holdings": "holdings hldg hldgs holding", "services": "services svc svcs serv servs service",
@@ -224,13 +228,14 @@ def keyed(defendants: DataFrame) -> DataFrame:
     return defendants.select("id", "raw_name", "canonical_name").mapInArrow(_keys, f"id {dict(defendants.dtypes)['id']}, raw_key string, canon_key string")
 
 
-def _explode_forms(batches):
+def _explode_forms(batches, initials: bool = True):
+    """initials: whether persons meet under the initial of the given name, as open names need it, or under each of its readings."""
     for b in batches:
         f, k, w = [], [], []
         for key in b.column(0).to_pylist():
             p = key.split("|")
-            # slips are sought within one line of business and kind, or under one initial of the given name
-            tails = [f"{p[2]}|{p[3]}"] if p[0] == "O" else sorted({g[0] for g in p[2].split("/")}) if p[2] else []
+            # slips are sought within one line of business and kind, or under one given name
+            tails = [f"{p[2]}|{p[3]}"] if p[0] == "O" else sorted({g[0] if initials else g for g in p[2].split("/")}) if p[2] else []
             for tail in tails:
                 for x in forms(p[1]):
                     f.append(f"{p[0]}|{x}|{tail}")
@@ -259,12 +264,17 @@ def _confirm(batches):
 def key_links(keys: DataFrame) -> DataFrame:
     """(u, v, score) between different keys that a slip may have made of one; score: rarity of the rarest shared form over 1 + distance.
 
-    The keys of a form are linked to one hub only, the key that is spelt like
-    the form or else the smallest, so that no pairs are emitted within a form.
+    Every two keys of a form meet and are confirmed or refused by their own
+    distance.  The keys of a form that many share are dealt to tiles, and each
+    pair of tiles is a group of its own, so that no task gets all of a form.
     """
-    f = keys.select("key").mapInArrow(_explode_forms, "form string, key string, word string")
-    hub = f.groupBy("form").agg(F.count("*").alias("shared"), F.min(F.struct(F.length("word"), "key")).alias("hub")).where("shared > 1").select("form", "shared", F.col("hub.key").alias("low"))
-    pairs = f.select("form", "key").join(hub, "form").where("key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"), "shared").groupBy("a", "b").agg(F.min("shared").alias("shared"))
+    f = keys.select("key").mapInArrow(partial(_explode_forms, initials=False), "form string, key string, word string").select("form", "key")
+    shared = f.groupBy("form").agg(F.count("*").alias("shared")).where("shared > 1").withColumn("tiles", F.ceil(F.col("shared") / TILE).cast("int"))
+    own, other = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    f = f.join(shared, "form")
+    left = f.select("form", "shared", F.col("key").alias("a"), own.alias("i"), other.alias("j"))
+    right = f.select("form", F.col("key").alias("b"), other.alias("i"), own.alias("j"))
+    pairs = left.join(right, ["form", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.min("shared").alias("shared"))
     return pairs.mapInArrow(_confirm, "u string, v string, score double")
 
 

@@ -206,6 +206,27 @@ def test_forms_meet():
         assert names.forms(w) & names.forms("".join(v)) or len(v) < 7
 
 
+@pytest.mark.parametrize("tile", [1000, 2])
+def test_keys_of_a_form_all_meet(spark, monkeypatch, tile):
+    monkeypatch.setattr(names, "TILE", tile)
+    rng = random.Random(11)
+    ks = {"P|smith|james", "P|smith|john", "P|smyth|john"}
+    for _ in range(60):
+        w = list("lumendarov")
+        for _ in range(3):
+            w[rng.randrange(len(w))] = rng.choice("lumen")
+        ks |= {f"O|{''.join(w)}|energy|group", f"P|{''.join(w[:6])}|{rng.choice(['james', 'john'])}"}
+
+    def same(x, y):
+        p, q = x.split("|"), y.split("|")
+        n = min(len(p[1]), len(q[1]))
+        return p[0] == q[0] and p[2:] == q[2:] and names.osa(p[1], q[1], 2) <= (2 if n >= 8 else 1 if n >= 5 else 0)
+
+    want = {(x, y) for x, y in itertools.combinations(sorted(ks), 2) if same(x, y)}
+    df = spark.createDataFrame([(k,) for k in ks], "key string")
+    assert ("P|smith|john", "P|smyth|john") in want and {(r.u, r.v) for r in names.key_links(df).collect()} == want
+
+
 # --- 6 ---------------------------------------------------------------------------
 def test_repeated_lines(spark):
     rows = [(f"i{i}", "CA", f"Menu\nText {chr(97 + i % 26)}{chr(97 + i // 26)} here\n\nAll Rights 20{i}\n123", 1) for i in range(60)] + [("n", None, None, 1), ("e", "CA", "", 1), ("m", "CA", "MENU!\nmenu", 1)] + [(f"t{i}", "TX", "Menu", 1) for i in range(4)]
