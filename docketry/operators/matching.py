@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ from docketry.operators.graph import labels
 
 WINDOW_DAYS, MULTISTATE_DAYS = 30, 730
 LEAST_NAME, LEAST_CONFIDENCE, LEAST_HEADLINE, SIMILAR_AMOUNT = 80, 0.5, 70, 0.9
+#: Names of one length that are compared in one group.
+NAME_TILE = 1000
 _NOT_WORD = re.compile(r"[^\w]+")
 
 
@@ -48,14 +52,57 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_sort(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def best_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Highest token_sort of any two names of two arrays; 0 if either is empty."""
-    out = []
-    for xs, ys in zip(a, b):
-        xs, ys = ([] if v is None else list(v) for v in (xs, ys))
-        out.append(max((token_sort(x, y) for x in xs for y in ys), default=0))
-    return pd.Series(out, dtype="int32")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _sorted_all(names: pd.Series) -> pd.Series:
+    return pd.Series([[sorted_tokens(x) for x in ([] if v is None else v)] for v in names], dtype=object)
+
+
+def _letters(names: list[str]) -> np.ndarray:
+    """Number of letters of each name by the last five bits of their code."""
+    out = np.zeros((len(names), 32), np.int16)
+    for i, n in enumerate(names):
+        for c in n:
+            out[i, ord(c) & 31] += 1
+    return out
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """(left_key, right_key, score): all pairs with a token_sort of at least ``least``, equal keys included.
+
+    left, right: (key), distinct sorted words without the empty one.  Exact:
+    tiles of names of one length meet those whose length allows the score; in a
+    pair of tiles the letters that two names have in common bound their longest
+    common subsequence, and what passes is scored.
+    """
+
+    def tiles(df: DataFrame, side: str) -> DataFrame:
+        d = df.select("key", F.length("key").alias("n"))
+        size = d.groupBy("n").agg(F.ceil(F.count("*") / NAME_TILE).cast("int").alias("tiles"))
+        t = d.join(size, "n").groupBy("n", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("tile")).agg(F.collect_list("key").alias(side))
+        return t.select(F.col("n").alias("n_" + side), F.col("tile").alias("tile_" + side), side)
+
+    def compare(batches):
+        for b in batches:
+            for xs, ys in zip(b.column("l").to_pylist(), b.column("r").to_pylist()):
+                u, v, s = [], [], []
+                p, q = _letters(xs), _letters(ys)
+                need = (least - 0.5) * (p.sum(1)[:, None] + q.sum(1)[None, :])
+                common = np.zeros(need.shape, np.int16)
+                for c in range(32):
+                    common += np.minimum(p[:, c, None], q[None, :, c])
+                for i, j in zip(*np.nonzero(200 * common.astype(np.int64) >= need)):
+                    x, y = xs[i], ys[j]
+                    score = 100 if x == y else round(200 * _lcs(x, y) / (len(x) + len(y)))
+                    if score >= least:
+                        u.append(x)
+                        v.append(y)
+                        s.append(score)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string()), pa.array(s, pa.int32())], names=["left_key", "right_key", "score"])
+
+    fits = 200 * F.least("n_l", "n_r") >= (least - 0.5) * (F.col("n_l") + F.col("n_r"))
+    pairs = tiles(left, "l").crossJoin(tiles(right, "r")).where(fits)
+    spread = pairs.repartition(F.col("n_l"), F.col("tile_l"), F.col("n_r"), F.col("tile_r"))
+    return spread.select("l", "r").mapInArrow(compare, "left_key string, right_key string, score int")
 
 
 def candidates(actions: DataFrame, links: DataFrame, names: DataFrame, money: DataFrame) -> DataFrame:
@@ -67,22 +114,27 @@ def candidates(actions: DataFrame, links: DataFrame, names: DataFrame, money: Da
 def duplicate_pairs(cand: DataFrame) -> DataFrame:
     """(action_id_a, action_id_b, match_type, confidence, reason): pairs that may be the same matter, the smaller id first.
 
-    Blocked: two actions meet if a word of a defendant's name agrees and their
-    dates fall into the same or neighbouring stretches of the wider window, so
-    the join is an equi-join whose blocks stay small in number of days.  A
-    pair whose names agree by 80 without any common word doesn't meet.
+    Names are reduced to classes of equal sorted words and compared class by
+    class (``similar_names``, exact); actions then meet by equi-join on a pair
+    of classes and a stretch of dates.  The wide window holds only for pairs of
+    multistate actions, so all others meet within stretches of the narrow one.
     """
-    stretch = MULTISTATE_DAYS
-    words = cand.select("*", F.explode(F.array_distinct(F.flatten(F.transform("defendants", lambda n: F.split(F.lower(n), r"[^\p{L}\p{N}]+"))))).alias("word")).where(F.length("word") >= 5)
-    n = cand.count()
-    # words of many names (forms of companies) don't block
-    rare = words.groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") <= max(50, int(n**0.5) * 4)).select("word")
-    keyed = words.join(rare, "word").withColumn("s", F.floor(F.datediff("date", F.lit("1970-01-01")) / stretch))
-    left = keyed.select(*[F.col(c).alias("a_" + c) for c in cand.columns], "word", "s")
-    right = keyed.select(*[F.col(c).alias("b_" + c) for c in cand.columns], "word", F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("s"))
-    p = left.join(right, ["word", "s"]).where("a_id < b_id").drop("word", "s").dropDuplicates(["a_id", "b_id"])
-    p = p.withColumn("days", F.abs(F.datediff("a_date", "b_date"))).withColumn("window", F.when(F.col("a_multistate") & F.col("b_multistate") & (F.col("a_state") != F.col("b_state")), MULTISTATE_DAYS).otherwise(WINDOW_DAYS)).where("days <= window")
-    p = p.withColumn("score", best_ratio("a_defendants", "b_defendants")).where(F.col("score") >= LEAST_NAME).withColumn("hl", token_sort_ratio("a_headline", "b_headline"))
+    named = cand.select("id", "state", "date", "multistate", _sorted_all("defendants").alias("keys")).select("id", "state", "date", "multistate", F.explode(F.array_distinct("keys")).alias("key")).where("key <> '' AND date IS NOT NULL")
+    classes = named.select("key").distinct()
+    like = similar_names(classes, classes, LEAST_NAME)
+
+    def meet(rows: DataFrame, stretch: int) -> DataFrame:
+        k = rows.withColumn("s", F.floor(F.datediff("date", F.lit("1970-01-01")) / stretch))
+        left = k.select(*[F.col(c).alias("a_" + c) for c in rows.columns], "s").join(like, F.col("a_key") == F.col("left_key"))
+        right = k.select(*[F.col(c).alias("b_" + c) for c in rows.columns], F.explode(F.array(F.col("s") - 1, F.col("s"), F.col("s") + 1)).alias("t"))
+        days = F.abs(F.datediff("a_date", "b_date"))
+        return left.join(right, (F.col("right_key") == F.col("b_key")) & (F.col("s") == F.col("t"))).where("a_id < b_id").withColumn("days", days)
+
+    wide = meet(named.where("multistate"), MULTISTATE_DAYS).where((F.col("days") > WINDOW_DAYS) & (F.col("days") <= MULTISTATE_DAYS) & (F.col("a_state") != F.col("b_state")))
+    met = meet(named, WINDOW_DAYS).where(F.col("days") <= WINDOW_DAYS).unionByName(wide).groupBy("a_id", "b_id").agg(F.max("score").alias("score"))
+    p = met.join(cand.select(*[F.col(c).alias("a_" + c) for c in cand.columns if c != "defendants"]), "a_id").join(cand.select(*[F.col(c).alias("b_" + c) for c in cand.columns if c != "defendants"]), "b_id")
+    p = p.withColumn("days", F.abs(F.datediff("a_date", "b_date"))).withColumn("window", F.when(F.col("a_multistate") & F.col("b_multistate") & (F.col("a_state") != F.col("b_state")), MULTISTATE_DAYS).otherwise(WINDOW_DAYS))
+    p = p.withColumn("hl", token_sort_ratio("a_headline", "b_headline"))
     both = (F.coalesce("a_amount", F.lit(0)) > 0) & (F.coalesce("b_amount", F.lit(0)) > 0)
     exact = both & (F.col("a_amount") == F.col("b_amount"))
     similar = both & ~exact & (F.least("a_amount", "b_amount") / F.greatest("a_amount", "b_amount") >= SIMILAR_AMOUNT)

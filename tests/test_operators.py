@@ -1,5 +1,6 @@
 """Matching, sources and ingestion on small cases and against brute force."""
 
+import itertools
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -33,6 +34,15 @@ def test_pairs_against_brute_force(spark):
     assert len(k) == 1 and k[0].lead_state == "CA" and k[0].states == "CA,NY" and float(k[0].total_amount) == 5.0
 
 
+def test_pairs_of_a_frequent_defendant(spark):
+    rows = [(f"{i:04d}", "CA", date(2024, 1, 1 + i % 28), "Ristigrasti settles", False, [["Ristigrasti Energy Group", "Ristigrasti Enrgy Grp"][i % 2]], 5.0) for i in range(70)]
+    rows += [(f"w{i}", "CA", date(2024, 1, 1), "h", True, [n], None) for i, n in enumerate(["Abel Oil", "Abil Oils", "Zed"])]
+    c = spark.createDataFrame(rows, "id string, state string, date date, headline string, multistate boolean, defendants array<string>, amount double").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    got = {(r.action_id_a, r.action_id_b) for r in matching.duplicate_pairs(c).collect()}
+    assert got == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if matching.token_sort(a[5][0], b[5][0]) >= 80}
+    assert len(got) == 70 * 69 // 2 + 1
+
+
 def test_bands(spark):
     r = spark.createDataFrame([("a", "CA", date(2024, 1, 1), 1000.0, "h", False), ("b", "NY", date(2024, 2, 1), 995.0, "h", False), ("c", "NY", date(2020, 2, 1), 995.0, "h", False), ("d", "NY", None, 10.0, "h", False)], "id string, state string, date date, amount double, headline string, multistate boolean").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     got = [(x.seed, x.states, x.members) for x in matching.bands(r, prefix=2).collect()]
