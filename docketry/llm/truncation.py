@@ -8,7 +8,8 @@ frequent inside texts but almost never ends one shows a break.  Where a final
 trigram is rare (cuts in mid-word make words that nobody else has), its shape
 is looked up in place of it.  An exact check follows: a text that ends in a
 full stop, question or exclamation mark (closing quotes and brackets aside)
-isn't cut.
+isn't cut.  Copies of one body
+count once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docketry.llm.common import cut
 
@@ -47,7 +49,7 @@ _WORDS = "split(translate(regexp_replace(regexp_replace({t}, '\\\\b\\\\p{{Lu}}[\
 #: Trigrams of all texts with their number.
 COUNTS = """
 WITH {cut}, tokens AS (
-  SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut) WHERE text <> ''
+  SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
 SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen
 FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) AS (w0, w1, w2) FROM tokens) WHERE w2 IS NOT NULL
@@ -62,7 +64,7 @@ WITH {cut}, tokens AS (
   SELECT id, state, open, g, {shape} AS s
   FROM (SELECT id, state, open, concat_ws(' ', t[size(t) - 3], t[size(t) - 2], t[size(t) - 1]) AS g FROM tokens)
 ), ends AS (
-  SELECT g, s, count(*) AS at_end FROM finals GROUP BY g, s
+  SELECT g, s, count(*) AS at_end FROM finals f LEFT ANTI JOIN {copies} c ON f.id = c.id GROUP BY g, s
 ), trigram AS (
   SELECT e.g, c.seen, e.at_end FROM ends e JOIN {counts} c ON e.g = c.g
 ), shape AS (
@@ -83,6 +85,11 @@ def judge(bodies: DataFrame) -> DataFrame:
     """
     spark, tag = bodies.sparkSession, uuid.uuid4().hex
     bodies.createOrReplaceTempView(f"bodies_{tag}")
-    common = {"cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST}
+    body = F.expr("rtrim(' \n', body)")
+    same = bodies.where("body <> ''").select("id", F.xxhash64(body).alias("h"), F.hash(body).alias("k"), F.length(body).alias("n"))
+    # all copies of a body but the one with the smallest id
+    first = same.groupBy("h", "k", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    cut(same.join(first, ["h", "k", "n"]).where("id <> first").select("id")).createOrReplaceTempView(f"copies_{tag}")
+    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST}
     cut(spark.sql(COUNTS.format(**common))).createOrReplaceTempView(f"counts_{tag}")
     return spark.sql(SQL.format(**common, counts=f"counts_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))

@@ -152,6 +152,13 @@ def test_components(spark, seed, core):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text(spark):
+    rows = [(f"r{i}", "CA", f"The office will go on with all of the claims in {chr(97 + i)} court, and more of it was said.") for i in range(26)]
+    rows += [(f"c{i}", "CA", "The buyers get what is owed under the settl") for i in range(30)]
+    got = {r.id for r in truncation.judge(spark.createDataFrame(rows, "id string, state string, body string")).where("truncated").collect()}
+    assert got == {f"c{i}" for i in range(30)}
+
+
 # --- 5 ---------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "a,b,same",
