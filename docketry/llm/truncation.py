@@ -6,9 +6,10 @@ counts.  Trigrams are counted over the whole collection, inside texts and at
 their ends.  The final trigram of a text is joined with its counts: one that is
 frequent inside texts but almost never ends one shows a break.  Where a final
 trigram is rare (cuts in mid-word make words that nobody else has), its shape
-is looked up in place of it.  An exact check follows: a text that ends in a
-full stop, question or exclamation mark (closing quotes and brackets aside)
-isn't cut.  Copies of one body
+is looked up in place of it.  A text that ends in a full stop, question or
+exclamation mark (closing quotes and brackets aside) is cut only where its
+final trigram is frequent and almost never closes a sentence: the phrase goes on
+in lower case or with a number, as after an abbreviation.  Copies of one body
 count once.
 """
 
@@ -51,8 +52,8 @@ COUNTS = """
 WITH {cut}, tokens AS (
   SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
-SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen
-FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)))) AS (w0, w1, w2) FROM tokens) WHERE w2 IS NOT NULL
+SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen, count_if(w3 IS NULL OR left(w3, 1) IN ('', 'A', '"', '“', '‘')) AS closes
+FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) AS (w0, w1, w2, w3) FROM tokens) WHERE w2 IS NOT NULL
 GROUP BY 1
 """
 
@@ -66,13 +67,14 @@ WITH {cut}, tokens AS (
 ), ends AS (
   SELECT g, s, count(*) AS at_end FROM finals f LEFT ANTI JOIN {copies} c ON f.id = c.id GROUP BY g, s
 ), trigram AS (
-  SELECT e.g, c.seen, e.at_end FROM ends e JOIN {counts} c ON e.g = c.g
+  SELECT e.g, c.seen, c.closes, e.at_end FROM ends e JOIN {counts} c ON e.g = c.g
 ), shape AS (
   SELECT c.s, c.seen, e.at_end FROM (SELECT {shape} AS s, sum(seen) AS seen FROM {counts} GROUP BY 1) c JOIN (SELECT s, sum(at_end) AS at_end FROM ends GROUP BY s) e ON c.s = e.s
 )
-SELECT f.id, f.state, f.open, CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE coalesce(s.at_end / s.seen, 0) END AS terminal_share,
-       f.open AND CASE WHEN t.seen >= {frequent} THEN t.at_end / t.seen ELSE coalesce(s.at_end / s.seen, 0) END <= {terminal} AS truncated
-FROM finals f LEFT JOIN trigram t ON f.g = t.g LEFT JOIN shape s ON f.s = s.s
+SELECT id, state, open, terminal_share, (open OR frequent) AND terminal_share <= {terminal} AS truncated FROM (
+SELECT f.id, f.state, f.open, coalesce(t.seen >= {frequent}, false) AS frequent,
+       CASE WHEN t.seen >= {frequent} THEN if(f.open, t.at_end, t.closes) / t.seen ELSE coalesce(s.at_end / s.seen, 0) END AS terminal_share
+FROM finals f LEFT JOIN trigram t ON f.g = t.g LEFT JOIN shape s ON f.s = s.s)
 """
 
 

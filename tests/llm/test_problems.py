@@ -152,6 +152,13 @@ def test_components(spark, seed, core):
     assert components.components(df.limit(0)).count() == 0
 
 
+def test_cuts_after_abbreviations(spark):
+    rows = [(f"r{i}", "CA", f"The case is numbered as No. {i} of the court{chr(97 + i)}. The office will go on with it. More {chr(97 + i)} was said today.") for i in range(26)]
+    rows += [("cut", "CA", "The office says that the case is numbered as No."), ("whole", "CA", "The state says it. The office will go on with it.")]
+    got = {r.id for r in truncation.judge(spark.createDataFrame(rows, "id string, state string, body string")).where("truncated").collect()}
+    assert got == {"cut"}
+
+
 def test_copies_of_a_cut_text(spark):
     rows = [(f"r{i}", "CA", f"The office will go on with all of the claims in {chr(97 + i)} court, and more of it was said.") for i in range(26)]
     rows += [(f"c{i}", "CA", "The buyers get what is owed under the settl") for i in range(30)]
