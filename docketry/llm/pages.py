@@ -21,16 +21,13 @@ FIELDS = {
     "is_case": ("boolean", pa.bool_()),
     "site": ("array<int>", pa.list_(pa.int32())),
     "body": ("string", pa.string()),
-    "tail": ("string", pa.string()),
 }
-#: Text after the body's last words that a cut leaves behind.
-TAIL_CHARS = 400
 
 
 def model_of(actions: DataFrame) -> residue.Model:
     """Fit on the bounded sample; an empty table gives a model that finds nothing."""
     rows = residue.sample(actions)
-    return residue.fit(rows) if rows else residue.Model({}, (-4.0, -4.0, -4.0))
+    return residue.fit(rows) if rows else residue.Model({}, (residue.NEVER,) * 3)
 
 
 def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...] = ("id",), cases: bool | None = None, model=None, post=None) -> DataFrame:
@@ -50,7 +47,7 @@ def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...]
     if post:
         names += post[0]
         schema += "".join(f", {n} {t}" for n, t in zip(post[0], post[1]))
-    need_body = bool(post) or "body" in want or "tail" in want
+    need_body = bool(post) or "body" in want
     need_site = need_body or "site" in want
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +72,6 @@ def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...]
                     bodies.append(body)
                     if "body" in out:
                         out["body"].append(body)
-                    if "tail" in out:
-                        out["tail"].append(body.rstrip()[-TAIL_CHARS:])
             kept = b.select(list(keep)).take(pa.array(rows, pa.int64())) if len(rows) < b.num_rows else b.select(list(keep))
             cols = [*kept.columns, *(pa.array(out[c], FIELDS[c][1]) for c in want)]
             if post:
