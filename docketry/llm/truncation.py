@@ -2,15 +2,15 @@
 
 A text is read as words between blanks, each with its closing mark; words with
 a capital count as ``A`` and numbers as ``0``, so that names don't scatter the
-counts.  Trigrams are counted over the whole collection, inside texts and at
-their ends.  The final trigram of a text is joined with its counts: one that is
-frequent inside texts but almost never ends one shows a break.  Where a final
-trigram is rare (cuts in mid-word make words that nobody else has), its shape
-is looked up in place of it.  A text that ends in a full stop, question or
-exclamation mark (closing quotes and brackets aside) is cut only where its
-final trigram is frequent and almost never closes a sentence: the phrase goes on
-in lower case or with a number, as after an abbreviation.  Copies of one body
-count once.
+counts.  Trigrams are counted over the whole collection: how often they occur
+and how often they are *terminal*, that is, close a text, a paragraph or, with
+a stop, a sentence (what follows begins with a capital or a quotation).  The
+final trigram of a text is joined with its counts: one that is frequent inside
+texts but almost never terminal shows a break, whether a stop follows (as after
+an abbreviation) or not, and one that often closes something is whole, even
+without a stop (list items, headings).  Where a final trigram is rare (cuts in
+mid-word make words that nobody else has), the counts of its shape take its
+place: the kinds of its words and their marks.  Copies of one body count once.
 """
 
 from __future__ import annotations
@@ -24,62 +24,62 @@ from docketry.llm.common import cut
 
 #: A trigram is frequent from this many occurrences; rarer ones are judged by their shape.
 FREQUENT = 20
-#: Highest share of a trigram's occurrences at ends for it to be almost never terminal.
+#: Highest share of a trigram's occurrences that close something for it to be almost never terminal.
 TERMINAL = 0.2
 
 #: What a cut may leave behind: dots, a broken character, entity or tag.
 MARKS = r"(?:\\s|\\.\\.+|…|�|&#?\\w{0,6}$|<\\/?\\w{0,6}$|\\[\\s*(?:…|\\.\\.\\.|more|cut|truncated|continued)[^\\]]*\\]?$|\\((?:more|continued|cont\\.?|truncated)\\)$|(?i:\\bread more$|\\bcontinue reading$))+$"
-#: Those marks, quotes and brackets are looked for in so many last characters.
-LAST = 200
+#: Those marks and the final trigram are looked for in so many last pieces between blanks.
+LAST = 16
 
-
-#: Of a trigram g: A, 0 or a for each word, and a mark for each sentence that ends.
-SHAPE = """regexp_replace(regexp_replace(g, '[^ .!?:"”’)A0^]+', 'a'), '[.!?:"”’)]+', '.')"""
+#: Of a trigram g: A, 0 or a for each word, with a full stop or a comma for its closing mark.
+SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(g, '[^ .!?,;:"”’)\\]A0^]+', 'a'), '[.!?]["”’)\\]]*', '.'), '[,;:"”’)\\]]+', ',')"""
 
 #: Common to both statements: bodies without what a cut leaves behind, and the masked words of a text.
 _CUT = """
 ended AS (
-  SELECT id, state, left(body, greatest(length(body) - {last}, 0)) AS head, right(body, {last}) AS tail
-  FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> ''
+  SELECT id, state, left(body, length(body) - length(tail)) AS head, tail
+  FROM (SELECT id, state, body, right(body, length(substring_index(translate(body, '\n\t', '  '), ' ', -{last}))) AS tail FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> '')
 ), cut AS (
-  SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail, tail RLIKE '(?:\\\\.\\\\.|…)["”’)\\\\]]?$' AS dots FROM ended
+  SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail FROM ended
 )
 """
 _WORDS = "split(translate(regexp_replace(regexp_replace({t}, '\\\\b\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{N}}]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n\t', '  '), ' ')"
 
-#: Trigrams of all texts with their number.
+#: Trigrams of all texts: occurrences, and how many close a text, a paragraph (a blank line gives an empty word) or a sentence.
 COUNTS = """
 WITH {cut}, tokens AS (
   SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
-SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen, count_if(w3 IS NULL OR left(w3, 1) IN ('', 'A', '"', '“', '‘')) AS closes
-FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) AS (w0, w1, w2, w3) FROM tokens) WHERE w2 IS NOT NULL
+SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen,
+       count_if(w3 IS NULL OR w3 = '' OR right(rtrim('"”’)]', w2), 1) IN ('.', '!', '?') AND left(w3, 1) IN ('A', '"', '“', '‘')) AS closes
+FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) AS (w0, w1, w2, w3) FROM tokens) WHERE w2 <> ''
 GROUP BY 1
 """
 
-#: Final trigrams, joined with their counts; the last {last} characters hold them.
-SQL = """
+#: Final trigrams of all texts, from their last {last} pieces.
+FINALS = """
 WITH {cut}, tokens AS (
-  SELECT id, state, dots OR NOT tail RLIKE '[.!?]["”’\\')\\\\]]*$' AS open, concat(array('^', '^'), {words}) AS t FROM (SELECT *, tail AS text FROM cut) WHERE text <> ''
-), finals AS (
-  SELECT id, state, open, g, {shape} AS s
-  FROM (SELECT id, state, open, concat_ws(' ', t[size(t) - 3], t[size(t) - 2], t[size(t) - 1]) AS g FROM tokens)
-), ends AS (
-  SELECT g, s, count(*) AS at_end FROM finals f LEFT ANTI JOIN {copies} c ON f.id = c.id GROUP BY g, s
-), trigram AS (
-  SELECT e.g, c.seen, c.closes, e.at_end FROM ends e JOIN {counts} c ON e.g = c.g
+  SELECT id, state, concat(array('^', '^'), {words}) AS t FROM (SELECT *, tail AS text FROM cut) WHERE text <> ''
+)
+SELECT id, state, g, {shape} AS s FROM (SELECT id, state, concat_ws(' ', t[size(t) - 3], t[size(t) - 2], t[size(t) - 1]) AS g FROM tokens)
+"""
+
+#: Final trigrams, joined with their counts.
+SQL = """
+WITH trigram AS (
+  SELECT c.g, c.seen, c.closes FROM {counts} c LEFT SEMI JOIN {finals} f ON f.g = c.g WHERE c.seen >= {frequent}
 ), shape AS (
-  SELECT c.s, c.seen, e.at_end FROM (SELECT {shape} AS s, sum(seen) AS seen FROM {counts} GROUP BY 1) c JOIN (SELECT s, sum(at_end) AS at_end FROM ends GROUP BY s) e ON c.s = e.s
+  SELECT {shape} AS s, sum(seen) AS seen, sum(closes) AS closes FROM {counts} GROUP BY 1
 )
-SELECT id, state, open, terminal_share, (open OR frequent) AND terminal_share <= {terminal} AS truncated FROM (
-SELECT f.id, f.state, f.open, coalesce(t.seen >= {frequent}, false) AS frequent,
-       CASE WHEN t.seen >= {frequent} THEN if(f.open, t.at_end, t.closes) / t.seen ELSE coalesce(s.at_end / s.seen, 0) END AS terminal_share
-FROM finals f LEFT JOIN trigram t ON f.g = t.g LEFT JOIN shape s ON f.s = s.s)
+SELECT id, state, g, by_shape, terminal_share, terminal_share <= {terminal} AS truncated FROM (
+SELECT f.id, f.state, f.g, t.g IS NULL AS by_shape, coalesce(t.closes / t.seen, s.closes / s.seen, 0) AS terminal_share
+FROM {finals} f LEFT JOIN trigram t ON f.g = t.g LEFT JOIN shape s ON f.s = s.s)
 """
 
 
 def judge(bodies: DataFrame) -> DataFrame:
-    """(id, state, open, terminal_share, truncated) of every body with words.
+    """(id, state, g, by_shape, terminal_share, truncated) of every body with words; g is its final trigram.
 
     bodies: (id, state, body), materialised.  Null and empty bodies have no row.
     The collection's counts need a collection: in one of a few texts every
@@ -92,6 +92,7 @@ def judge(bodies: DataFrame) -> DataFrame:
     # all copies of a body but the one with the smallest id
     first = same.groupBy("h", "k", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     cut(same.join(first, ["h", "k", "n"]).where("id <> first").select("id")).createOrReplaceTempView(f"copies_{tag}")
-    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST}
+    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST, "shape": SHAPE}
     cut(spark.sql(COUNTS.format(**common))).createOrReplaceTempView(f"counts_{tag}")
-    return spark.sql(SQL.format(**common, counts=f"counts_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))
+    cut(spark.sql(FINALS.format(**common))).createOrReplaceTempView(f"finals_{tag}")
+    return spark.sql(SQL.format(counts=f"counts_{tag}", finals=f"finals_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))

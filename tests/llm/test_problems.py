@@ -183,6 +183,16 @@ def test_copies_of_a_cut_text(spark):
     assert got == {f"c{i}" for i in range(30)}
 
 
+def test_open_but_whole_ends(spark, monkeypatch):
+    """List items and headings have no stop, yet close a paragraph; only the trigram counts tell them from a cut."""
+    rows = [(f"r{i}", "CA", f"The firm must do this in {chr(97 + i)} court:\n\nrefund every buyer in full\n\nkeep no more fees at all\n\nThe state went on to say more {chr(97 + i)} words.") for i in range(26)]
+    rows += [("list", "CA", "The firm must do this in z court:\n\nrefund every buyer in full"), ("cut", "CA", "The firm must do this in z court:\n\nrefund every buyer"), ("word", "CA", "The firm must do this in z court:\n\nrefund every buy")]
+    df = spark.createDataFrame(rows, "id string, state string, body string")
+    assert {r.id for r in truncation.judge(df).where("truncated").collect()} == {"cut", "word"}
+    monkeypatch.setattr(truncation, "TERMINAL", 1.0)
+    assert truncation.judge(df).where("NOT truncated").count() == 0
+
+
 # --- 5 ---------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "a,b,same",
