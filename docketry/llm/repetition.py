@@ -1,16 +1,19 @@
 """Problem 10: the share of repeated content inside each document.
 
-Every run of five words of a document is a feature: its hash bucket and whether
-it began earlier in the same document.  Two multinomials over these features
-are counted, one of the *trusted target* (documents in which no run repeats)
-and one of the raw corpus.  A document's score is the log-likelihood ratio of
-raw against target, divided by its number of runs.  First occurrences weigh
-about nothing in it and repeats much, so the score rises with repetition.
+Every word of a document is a feature: the hash bucket of the run of five words
+that begins at it, and whether it lies in a run that began earlier in the same
+document.  Two multinomials over these features are counted, one of the
+*trusted target* (documents in which no run repeats) and one of the raw corpus,
+each smoothed by ``PRIOR`` of its size towards independence of bucket and mark.
+A document's score is the log-likelihood ratio of raw against target, divided
+by its number of words.  First occurrences weigh about nothing in it and
+repeats much, so the score rises with the share of repeated content.
 
 The counts cover the whole corpus and are gathered as two arrays of fixed
-length (``BUCKETS``).  All documents are then thresholded; the threshold on the
-score is derived from the model so that no document with the wanted share can
-fall below it, and the exact share of repeated words decides what remains.
+length (``BUCKETS``).  All documents are thresholded at the score that a
+document of ``NEAR`` of the wanted share has with average features; buckets
+move a score by a few per cent, so what the threshold lets through is about the
+wanted set, and an exact check of the share follows.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ N = 5
 #: Hash buckets of first occurrences; repeats have as many.
 BUCKETS = 4096
 LEAST_SHARE = 0.4
+#: The threshold lies at the score of this part of the wanted share.
+NEAR = 0.85
+#: Weight of independence of bucket and mark, as a part of a corpus's size.
+PRIOR = 1.0
 #: Texts of one numpy pass: bounds the memory of a task whatever the batch.
 CHUNK_CHARS = 2_000_000
 
@@ -46,7 +53,7 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
 
 
 def repeats(texts: list[str | None], n: int = N):
-    """Per text: words, repeated words, runs, repeated runs; and (document, bucket, repeated) of each run."""
+    """Per text: words, repeated words, runs, repeated runs; and (document, bucket, repeated) of each word of texts with runs."""
     h, doc = word_hashes(texts)
     g, gdoc, first = gram_hashes(h, doc, n)
     k = len(texts)
@@ -60,11 +67,18 @@ def repeats(texts: list[str | None], n: int = N):
     np.add.at(cover, first[again] + n, -1)
     covered = np.cumsum(cover[:-1]) > 0
     count = lambda d, w=None: np.bincount(d, w, minlength=k)
-    return count(doc), count(doc, covered).astype(np.int64), count(gdoc), count(gdoc, again).astype(np.int64), (gdoc, (g % np.uint64(BUCKETS)).astype(np.int64), again)
+    runs = count(gdoc)
+    # a text's last words have the bucket of its last run
+    at = np.zeros(len(h), np.int64)
+    at[first] = np.arange(len(g))
+    at = np.maximum.accumulate(at)
+    some = runs[doc] > 0
+    bucket = (g % np.uint64(BUCKETS)).astype(np.int64)
+    return count(doc), count(doc, covered).astype(np.int64), runs, count(gdoc, again).astype(np.int64), (doc[some], bucket[at[some]] if len(g) else at[some], covered[some])
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(target, bucket, n): run counts by feature; repeats have buckets from BUCKETS on.  At most 4 * BUCKETS rows leave a task's aggregation."""
+    """(target, bucket, n): word counts by feature; repeats have buckets from BUCKETS on.  At most 4 * BUCKETS rows leave a task's aggregation."""
 
     def run(batches):
         total = np.zeros((2, 2 * BUCKETS), np.int64)
@@ -79,35 +93,39 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "target boolean, bucket int, n bigint").groupBy("target", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """log P(feature | raw) - log P(feature | target), with add-one smoothing; bounded by 4 * BUCKETS rows."""
-    raw, target = np.ones(2 * BUCKETS), np.ones(2 * BUCKETS)
+def fit(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, float, float]:
+    """(log P(feature | raw) - log P(feature | target), its mean over first occurrences, over repeats); bounded by 4 * BUCKETS rows."""
+    raw, target = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
     for t, f, n in features(docs, text).collect():
-        raw[f] += n
+        raw[f // BUCKETS, f % BUCKETS] += n
         if t:
-            target[f] += n
-    return np.log(raw / raw.sum()) - np.log(target / target.sum())
+            target[f // BUCKETS, f % BUCKETS] += n
+    share = (raw.sum(0) + 1) / (raw.sum() + BUCKETS)
 
+    def logp(n: np.ndarray) -> np.ndarray:
+        total = n.sum()
+        mark = (n.sum(1) + 0.5) / (total + 1)
+        most = PRIOR * total + 1
+        return np.log((n + most * mark[:, None] * share) / (total + most))
 
-def least_score(weight: np.ndarray, share: float = LEAST_SHARE, n: int = N) -> float:
-    """No document whose share of repeated words is at least ``share`` scores below this.
+    weight = logp(raw) - logp(target)
+    first, again = (float((weight[m] * (raw[m] + share)).sum() / (raw[m].sum() + 1)) for m in (0, 1))
+    return weight.ravel(), first, again
 
-    A repeated run covers at most n words and there are fewer runs than words,
-    so at least share / n of the runs repeat.
-    """
-    first, again = weight[:BUCKETS].min(), weight[BUCKETS:].min()
-    least = share / n
-    return float(min(first, again) if again < first else least * again + (1 - least) * first)
+
+def least_score(first: float, again: float, share: float = LEAST_SHARE) -> float:
+    """Score of a document of average features in which ``NEAR`` of ``share`` is repeated content."""
+    return NEAR * share * again + (1 - NEAR * share) * first
 
 
-def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = LEAST_SHARE) -> DataFrame:
     """(key, words, repeated_words, repeated_share, score, above) of every document.
 
     Null, empty and shorter texts than five words have share 0 and score 0.
     Whole texts are read; the work is linear in their length.
     """
-    weight = fit(docs, text)
-    least = least_score(weight)
+    weight, *means = fit(docs, text)
+    least = least_score(*means, share)
     shared = docs.sparkSession.sparkContext.broadcast(weight)
     kind = dict(docs.dtypes)[key]
 
@@ -116,13 +134,13 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         for b in batches:
             for at, part in chunks(b.column(1).to_pylist()):
                 words, rep, runs, _, (d, bucket, again) = repeats(part)
-                score = np.bincount(d, w[bucket + again * BUCKETS], minlength=len(part)) / np.maximum(runs, 1)
-                share = rep / np.maximum(words, 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(words), pa.array(rep), pa.array(share), pa.array(score), pa.array((score >= least - 1e-9) & (runs > 0))], names=[key, "words", "repeated_words", "repeated_share", "score", "above"])
+                n = np.maximum(words, 1)
+                score = np.bincount(d, w[bucket + again * BUCKETS], minlength=len(part)) / n
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(words), pa.array(rep), pa.array(rep / n), pa.array(score), pa.array((score >= least) & (runs > 0))], names=[key, "words", "repeated_words", "repeated_share", "score", "above"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, words bigint, repeated_words bigint, repeated_share double, score double, above boolean")
 
 
 def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = LEAST_SHARE) -> DataFrame:
-    """Documents above the score's threshold, then the exact share."""
-    return measure(docs, key, text).where(F.col("above") & (F.col("repeated_share") >= share))
+    """Documents above the score's threshold; the exact share of what passes is checked."""
+    return measure(docs, key, text, share).where(F.col("above") & (F.col("repeated_share") >= share))

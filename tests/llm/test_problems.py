@@ -360,6 +360,18 @@ def test_repetition(spark):
     assert {r.doc_id for r in repetition.repetitive(df).collect()} == {i for i, t in docs if share(t)[1] and share(t)[0] >= 0.4 * share(t)[1]}
 
 
+def test_the_ratio_decides(spark, monkeypatch):
+    """The threshold alone gives the wanted set, far from all documents; without repeats in the target's complement there is none."""
+    rng = random.Random(8)
+    docs = []
+    for i in range(400):
+        w = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        k = rng.choice([0, 0, 0, 12, 30, 70, 90])
+        docs.append((i, " ".join(w[: 120 - k] + [w[j % 12] for j in range(k)])))
+    m = {r.doc_id: r for r in repetition.measure(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert {i for i, r in m.items() if r.above} == {i for i, r in m.items() if r.repeated_share >= 0.4} and 0 < sum(r.above for r in m.values()) < 200
+
+
 # --- queries ------------------------------------------------------------------------
 DATA = "/root/testdata/sf0.001"
 
