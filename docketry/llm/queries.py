@@ -67,20 +67,20 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Each line that recurs excessively in its state."""
-    a = table(spark, d, "enforcement_actions")
-    return lines.occurrences(a, lines.frequent_lines(a)).select("id", "line_no")
+    return lines.repeated(table(spark, d, "enforcement_actions")).select("id", "line_no")
 
 
 def p6_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent sequences of lines per state."""
+    """Closed frequent sequences of lines per state."""
     a = table(spark, d, "enforcement_actions")
-    return lines.sequences(a, lines.frequent_lines(a)).select(F.col("source").alias("state"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "length", F.col("support").cast("bigint").alias("support"))
+    freq = lines.frequent_lines(a)
+    return lines.closed(lines.prefix_span(lines.project(a, freq), freq)).select(F.col("source").alias("state"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "length", F.col("support").cast("bigint").alias("support"))
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every record without the lines that recur excessively in its state."""
     a = table(spark, d, "enforcement_actions")
-    return lines.without(a, lines.frequent_lines(a))
+    return lines.without(a, lines.repeated(a))
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -273,12 +273,34 @@ def test_repeated_lines(spark):
     rows = [(f"i{i}", "CA", f"Menu\nText {chr(97 + i % 26)}{chr(97 + i // 26)} here\n\nAll Rights 20{i}\n123", 1) for i in range(60)] + [("n", None, None, 1), ("e", "CA", "", 1), ("m", "CA", "MENU!\nmenu", 1)] + [(f"t{i}", "TX", "Menu", 1) for i in range(4)]
     a = spark.createDataFrame(rows, "id string, state string, raw_text string, key int")
     f = lines.frequent_lines(a)
-    got = {(r.id, r.line_no) for r in lines.occurrences(a, f).collect()}
+    p = lines.project(a, f)
+    got = {(r.id, r.line_no) for r in lines.covered(p, lines.prefix_span(p, f)).collect()}
     assert got == {(f"i{i}", k) for i in range(60) for k in (1, 4)} | {("m", 1), ("m", 2)}
-    seq = {(r.length, r.support) for r in lines.sequences(a, f).collect()}
-    assert seq == {(1, 61), (1, 60), (2, 60)}
-    cleaned = {r.id: (r.cleaned, r.removed) for r in lines.without(a, f).collect()}
+    assert {(r.length, r.support) for r in lines.prefix_span(p, f).collect()} == {(1, 61), (1, 60), (2, 60)}
+    assert {(r.length, r.support) for r in lines.closed(lines.prefix_span(p, f)).collect()} == {(1, 61), (2, 60)}
+    cleaned = {r.id: (r.cleaned, r.removed) for r in lines.without(a, lines.repeated(a)).collect()}
     assert cleaned["m"] == ("", 2) and cleaned["i0"] == ("Text aa here\n\n123", 2) and cleaned["n"] == (None, 0) and cleaned["t0"] == ("Menu", 0)
+    # without the single lines only the sequence of two goes
+    two = {(r.id, r.line_no) for r in lines.covered(p, lines.prefix_span(p, f).where("length = 2")).collect()}
+    assert two == {(f"i{i}", k) for i in range(60) for k in (1, 4)}
+
+
+def test_sequences_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(f"d{i}", rng.choice("AB"), "\n".join(rng.choice(["", *"abcdefgh"]) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    rows += [(f"m{i}", "A", "\n".join(f"menu {chr(97 + j)}" for j in range(9))) for i in range(8)]
+    a = spark.createDataFrame(rows, "id string, state string, raw_text string")
+    size = collections.Counter(s for _, s, _ in rows)
+    low = {s: max(5, 0.04 * n) for s, n in size.items()}
+    norm = lambda x: "".join(c for c in x.lower() if c.isalpha())
+    docs = [(s, [k for x in t.split("\n") if (k := norm(x))]) for _, s, t in rows]
+    single = {k for k, n in collections.Counter((s, k) for s, ks in docs for k in set(ks)).items() if n >= low[k[0]]}
+    docs = [(s, [k for k in ks if (s, k) in single]) for s, ks in docs]
+    want = collections.Counter((s, g) for s, ks in docs for g in {tuple(ks[i:j]) for i in range(len(ks)) for j in range(i + 1, len(ks) + 1)})
+    want = collections.Counter((s, len(g), n) for (s, g), n in want.items() if n >= low[s])
+    f = lines.frequent_lines(a)
+    got = collections.Counter((r.source, r.length, r.support) for r in lines.prefix_span(lines.project(a, f), f).collect())
+    assert got == want and max(k[1] for k in want) == 9
 
 
 # --- 8 ---------------------------------------------------------------------------
