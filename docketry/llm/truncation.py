@@ -24,6 +24,8 @@ from docketry.llm.common import cut
 
 #: A trigram is frequent from this many occurrences; rarer ones are judged by their shape.
 FREQUENT = 20
+#: Ids that are broadcast, at most (about 60 bytes each).
+BROADCAST_ROWS = 500_000
 #: Highest share of a trigram's occurrences that close something for it to be almost never terminal.
 TERMINAL = 0.2
 
@@ -38,18 +40,18 @@ SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(g, '[^ .!?,;:"”’)\\
 #: Common to both statements: bodies without what a cut leaves behind, and the masked words of a text.
 _CUT = """
 ended AS (
-  SELECT id, state, left(body, length(body) - length(tail)) AS head, tail
-  FROM (SELECT id, state, body, right(body, length(substring_index(translate(body, '\n\t', '  '), ' ', -{last}))) AS tail FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> '')
+  SELECT id, state, left(body, length(body) - n) AS head, right(body, n) AS tail
+  FROM (SELECT id, state, body, length(substring_index(replace(replace(body, '\n', ' '), '\t', ' '), ' ', -{last})) AS n FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> '')
 ), cut AS (
   SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail FROM ended
 )
 """
-_WORDS = "split(translate(regexp_replace(regexp_replace({t}, '\\\\b\\\\p{{Lu}}[\\\\p{{L}}\\\\p{{N}}]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n\t', '  '), ' ')"
+_WORDS = "split(replace(replace(regexp_replace(regexp_replace({t}, '[A-ZÀ-ÖØ-Þ][A-Za-z0-9À-ÿ]*', 'A'), '[$]?[0-9]+(?:[.,][0-9]+)*', '0'), '\n', ' '), '\t', ' '), ' ')"
 
 #: Trigrams of all texts: occurrences, and how many close a text, a paragraph (a blank line gives an empty word) or a sentence.
 COUNTS = """
 WITH {cut}, tokens AS (
-  SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
+  SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT {hint} concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
 SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen,
        count_if(w3 IS NULL OR w3 = '' OR right(rtrim('"”’)]', w2), 1) IN ('.', '!', '?') AND left(w3, 1) IN ('A', '"', '“', '‘')) AS closes
@@ -91,8 +93,11 @@ def judge(bodies: DataFrame) -> DataFrame:
     same = bodies.where("body <> ''").select("id", F.xxhash64(body).alias("h"), F.hash(body).alias("k"), F.length(body).alias("n"))
     # all copies of a body but the one with the smallest id
     first = same.groupBy("h", "k", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    cut(same.join(first, ["h", "k", "n"]).where("id <> first").select("id")).createOrReplaceTempView(f"copies_{tag}")
-    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST, "shape": SHAPE}
+    copies = cut(same.join(first, ["h", "k", "n"]).where("id <> first").select("id"))
+    copies.createOrReplaceTempView(f"copies_{tag}")
+    # few ids are sent to the texts; else the texts would be shuffled
+    hint = "/*+ BROADCAST(c) */" if copies.count() <= BROADCAST_ROWS else ""
+    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST, "shape": SHAPE, "hint": hint}
     cut(spark.sql(COUNTS.format(**common))).createOrReplaceTempView(f"counts_{tag}")
     cut(spark.sql(FINALS.format(**common))).createOrReplaceTempView(f"finals_{tag}")
     return spark.sql(SQL.format(counts=f"counts_{tag}", finals=f"finals_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))
