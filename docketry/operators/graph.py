@@ -1,4 +1,4 @@
-"""Connected groups of an edge list by minimum labels with pointer jumping."""
+"""Connected groups of an edge list by alternating star steps."""
 
 from __future__ import annotations
 
@@ -8,26 +8,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark) -> str:
+    """The folder that the session names; a folder of our own only on one machine, where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docketry-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def labels(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def both_ways(e: DataFrame) -> DataFrame:
+    """(x, y) of every link (u, v), in both directions."""
+    return e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("d")).select("d.x", "d.y")
+
+
+def stars(e: DataFrame) -> DataFrame:
+    """(x, label) of all vertices of the distinct links e (u < v); label is the smallest id of the group.
+
+    A large star links every larger neighbour of x to the smallest one of x and
+    its neighbours, a small star x and its smaller neighbours to the smallest
+    of them; both keep the groups.  The rounds (about log squared of the
+    vertices) go on until every vertex hangs on the smallest of its group.  A
+    hot vertex' links are only reduced to a minimum, never gathered.
+    """
+    while True:
+        d = both_ways(e)
+        m = d.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        big = d.join(m, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
+        s = big.groupBy("v").agg(F.min("u").alias("m"))
+        e = checkpointed(big.join(s, "v").select("m", F.explode(F.array("u", "v")).alias("w")).where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct())
+        # done: nobody has two parents, and no parent has one
+        n = e.agg(F.count("*"), F.count_distinct("v")).first()
+        if n[0] == n[1] and e.select(F.col("u").alias("v")).join(e.select("v"), "v", "left_semi").isEmpty():
+            roots = e.select(F.col("u").alias("x"), F.col("u").alias("label")).distinct()
+            return e.select(F.col("v").alias("x"), F.col("u").alias("label")).union(roots)
+
+
+def labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, label): label is the smallest id of the group. Null ids and loops link nothing."""
-    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    d = checkpointed(e.union(e.select("y", "x")).distinct())
-    lab = checkpointed(d.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")))
-    for _ in range(rounds):
-        near = d.join(lab.select(F.col("x").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("low"))
-        step = lab.join(near, "x").select("x", F.least("label", "low").alias("label"), F.col("label").alias("old"))
-        # jump: the label of the label
-        jump = step.join(step.select(F.col("x").alias("label"), F.col("label").alias("up")), "label", "left").select("x", F.least("label", F.coalesce("up", "label")).alias("label"), "old")
-        nxt = checkpointed(jump)
-        lab = nxt.select("x", "label")
-        if nxt.where("label <> old").isEmpty():
-            break
-    return lab.select(F.col("x").alias("id"), "label")
+    x, y = F.col(a), F.col(b)
+    e = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v")).distinct()
+    return stars(checkpointed(e)).select(F.col("x").alias("id"), "label")
