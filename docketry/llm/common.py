@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.operators.graph import checkpoint_dir, checkpointed
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -21,24 +22,13 @@ def words(text: str) -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) a folder of our own is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    return checkpointed(df)
 
 
 def stash(df: DataFrame) -> DataFrame:
     """Like ``cut``, but as a compressed table in the same folder; for wide rows that are read more than once."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/stash-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,31 +1,26 @@
 """Problem 4: one group identifier for everything linked directly or through others.
 
-Vertices of degree one are stripped, chains of vertices of degree two are
-compressed by list ranking (pointer doubling over directed edges, so that a
-chain of n takes log n rounds), what then has degree one is stripped again,
-the reduced core is solved, and the labels are carried back to the chains and
-the stripped vertices.  The core is solved by alternating large-star and
-small-star steps until it has converged or is down to CORE_EDGES links, which
-one task then joins by union and find.  Every step is a shuffle join or a
-partially aggregated group-by on vertex ids; nothing but counts reaches the
-driver.  Hot vertices are safe: a vertex's edges are never gathered in one
-row, only counted or reduced to a minimum.
+Rounds of stripping and compressing reduce the graph: vertices of degree one
+are taken off, then chains of vertices of degree two are compressed by list
+ranking (pointer doubling over directed edges, so that a chain of n takes log n
+rounds).  Both leave new vertices of degree one and two, so the rounds go on
+until nothing is left to take; a tree is used up in a number of rounds that
+grows with the logarithm of its size.  The core that remains (every vertex of
+degree three or more) is solved by alternating star steps, and the labels are
+carried back to the chains and the stripped vertices.  Every step is a shuffle
+join or a partially aggregated group-by on vertex ids; nothing but counts
+reaches the driver.  Hot vertices are safe: a vertex's edges are never gathered
+in one row, only counted or reduced to a minimum.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docketry.llm.common import cut
-
-#: Rounds of stripping before chains are compressed; what is left goes on.
-STRIP_ROUNDS = 2
-#: Links of a core that one task may solve: about 150 MB.
-CORE_EDGES = 500_000
-#: Doubling rounds and star rounds, at most: 2**40 vertices.
-MOST_ROUNDS = 40
+from docketry.operators.graph import both_ways as _both
+from docketry.operators.graph import stars
 
 
 def clean_links(pairs: DataFrame, a: str = "action_id_a", b: str = "action_id_b") -> DataFrame:
@@ -39,10 +34,6 @@ def clean_links(pairs: DataFrame, a: str = "action_id_a", b: str = "action_id_b"
     )
 
 
-def _both(e: DataFrame) -> DataFrame:
-    return e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y")))).alias("d")).select("d.x", "d.y")
-
-
 def _strip(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remaining edges, and (x, parent) of the vertices of degree one."""
     # of a degree-one vertex min(y) is its only neighbour
@@ -70,8 +61,9 @@ def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     p = arcs.select("x", "y", F.col("y").alias("px"), other.alias("py"), F.col("y").alias("low"))
     ids = inner.select(F.col("y").alias("py"), F.lit(True).alias("inner"))
     p, open_ = _counted(p.join(ids, "py", "left").select("x", "y", "px", "py", "low", F.coalesce("inner", F.lit(False)).alias("inner")))
-    last = -1
-    for k in range(MOST_ROUNDS):
+    last = k = -1
+    while True:
+        k += 1
         # a round that closes no path leaves cycles only; their minimum is known once 2**k reaches round
         if open_ == 0 or open_ == last and 2**k >= open_:
             break
@@ -100,61 +92,21 @@ def _counted(p: DataFrame) -> tuple[DataFrame, int]:
     return p, int(seen.get["open"])
 
 
-def _union(batches):
-    """(x, label) of one task's links; label is the smallest id of each component."""
-    up: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = y
-        return x
-
-    for b in batches:
-        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
-            u, v = root(u), root(v)
-            if u != v:
-                up[max(u, v)] = min(u, v)
-    names = list(up)
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["x", "label"])
-
-
-def _core(e: DataFrame, edges: int = CORE_EDGES) -> DataFrame:
-    """(x, label) of the core's vertices."""
-    for _ in range(MOST_ROUNDS):
-        if e.count() <= edges:
-            return e.coalesce(1).mapInArrow(_union, "x string, label string")
-        # large star: every larger neighbour of x is linked to the smallest one of x and its neighbours
-        d = _both(e)
-        m = d.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
-        big = d.join(m, "x").where("y > x").select(F.col("m").alias("u"), F.col("y").alias("v")).where("u <> v").distinct()
-        # small star: x and its smaller neighbours are linked to the smallest of them
-        s = big.groupBy("v").agg(F.min("u").alias("m"))
-        n = cut(big.join(s, "v").select("m", F.explode(F.array("u", "v")).alias("w")).where("m <> w").select(F.col("m").alias("u"), F.col("w").alias("v")).distinct())
-        same = n.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(n, ["u", "v"], "left_anti").isEmpty()
-        e = n
-        if same:
-            break
-    return e.groupBy("v").agg(F.min("u").alias("label")).select(F.col("v").alias("x"), "label")
-
-
-def groups(links: DataFrame, strip_rounds: int = STRIP_ROUNDS, core_edges: int = CORE_EDGES) -> DataFrame:
+def groups(links: DataFrame) -> DataFrame:
     """(id, group_id) of every vertex of ``links`` (u, v); group_id is the smallest id of the group.
 
     An empty input gives an empty result; repeated and reversed links make no difference.
     """
-    first = e = cut(links.select("u", "v"))
+    first = e = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
     removed: list[DataFrame] = []
-    for _ in range(strip_rounds):
-        e, gone = _strip(e)
-        removed.append(gone)
-    e, chains = _compress(e)
-    removed.append(chains)
-    e, gone = _strip(e)
-    removed.append(gone)
-    label = cut(_core(e, core_edges))
+    n, last = e.count(), -1
+    while n and n != last:
+        last = n
+        for step in (_strip, _compress):
+            e, gone = step(e)
+            removed.append(gone)
+        n = e.count()
+    label = cut(stars(e)) if n else first.select(F.col("u").alias("x"), F.col("u").alias("label")).limit(0)
     for gone in reversed(removed):
         # a parent without a label is the root of its own tree
         back = gone.join(label.select(F.col("x").alias("parent"), F.col("label").alias("of")), "parent", "left").select("x", F.coalesce("of", "parent").alias("label"))
