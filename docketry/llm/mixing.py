@@ -23,19 +23,23 @@ from pyspark.sql import functions as F
 BLOCK_TOKENS = 512
 #: Documents of one bucket of a source, about; slots of one chunk of the schedule.
 BUCKET_DOCS, CHUNK = 50_000, 100_000
+#: Sources of the targets, at most: the plan is made on the driver.
+MOST_SOURCES = 10_000
 #: Fixed value: the fractional part of the golden ratio.
 PHI = 0.6180339887498949
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict]:
-    """Per source of ``targets`` (a bounded table: at most 10,000 rows): available tokens and those it is to give.
+    """Per source of ``targets``: available tokens and those it is to give; more than ``MOST_SOURCES`` targets raise an error.
 
     Null, repeated or non-positive targets and sources without tokens give
     nothing; what they would have given goes to the others in proportion.
     """
     t = targets.where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share").alias("target"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("repeats"))
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    rows = [r.asDict() for r in t.join(have, "source", "left").orderBy("source").limit(10_000).collect()]
+    rows = [r.asDict() for r in t.join(have, "source", "left").orderBy("source").limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources in the table of targets")
     live = [r for r in rows if (r["tokens"] or 0) > 0 and r["repeats"] > 0]
     for r in rows:
         r["tokens"], r["docs"], r["give"] = r["tokens"] or 0, r["docs"] or 0, 0.0

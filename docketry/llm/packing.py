@@ -1,12 +1,12 @@
 """Problem 8: filling containers of fixed capacity, by hierarchical residual packing.
 
 Round 0 packs parts of about PART_ITEMS items by best fit decreasing.  Bins
-that are nearly full, and those that nothing of the part's rest can join, are
-emitted.  Each part hands on its residual: its underfull bins, of which no two
-fit together after best fit, hence at most one that is half empty or emptier,
-and the emptiest RESIDUAL others as partners.  The residuals become the items
-of the next round, FAN parts at a time, until one part is left.  A task never
-sees more than one part, and a part's size doesn't depend on the input's.
+that are nearly full are emitted; all underfull ones become the items of the
+next round, dealt anew to as many parts as their number asks for, so that bins
+of different parts meet.  The rounds end when one part held all, or when a
+round merges fewer than one in ``WORTH`` of its items: within a part no two bins
+fit together after best fit.  A task never sees more than one part, and a
+part's size doesn't depend on the input's.
 
 A text above the capacity is cut into pieces of exactly the capacity and a
 rest; every other text stays whole.
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from docketry.llm.common import cut, stash
 
 PART_ITEMS = 20_000
-FAN = 256
-RESIDUAL = 16
+#: A round that merges fewer than one in so many items is the last.
+WORTH = 1000
+#: Rows of the table of capacities that are broadcast, at most; more are joined by shuffle.
+BROADCAST_ROWS = 1000
 #: Bins from this share of the capacity up are nearly full and emitted at once.
 NEARLY_FULL = 0.98
 
@@ -65,11 +67,7 @@ def _pack(batches, last: bool, round_: int):
         size = t.column("size").to_numpy()
         cap = int(t.column("capacity")[0].as_py())
         b, fill = best_fit(size, cap)
-        on = np.zeros(len(fill), bool)
-        if not last:
-            open_ = np.flatnonzero(fill < NEARLY_FULL * cap)
-            emptiest = open_[np.argsort(fill[open_], kind="stable")][: RESIDUAL + 1]
-            on[emptiest] = True
+        on = np.full(len(fill), not last) & (fill < NEARLY_FULL * cap)
         names = np.array([f"{round_}.{key[1]}.{i}" for i in range(len(fill))], object)
         return pa.RecordBatch.from_arrays(
             [t.column("pack_id").combine_chunks(), t.column("capacity").combine_chunks(), t.column("item").combine_chunks(), pa.array(names[b], pa.string()), pa.array(fill[b]), pa.array(on[b])],
@@ -108,7 +106,7 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", part_items: i
     or non-positive capacity packs nothing.  Ties are broken by id, so a run
     on the same rows gives the same bins.
     """
-    lim = F.broadcast(limits.where("capacity_tokens > 0").select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("int").alias("capacity")).limit(1000))
+    lim = _few(limits.where("capacity_tokens > 0").select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("int").alias("capacity")))
     n = sizes.count()
     parts = max(1, math.ceil(n / part_items))
     each = sizes.select(F.col(key).alias("doc_id"), "tokens").crossJoin(lim)
@@ -118,13 +116,16 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", part_items: i
     full = pieces.where("size = capacity").select("pack_id", F.concat(F.lit("f."), "item").alias("bin_id"), "doc_id", "piece", "size", F.col("size").alias("bin_tokens"))
     rest = pieces.where("size < capacity")
     items = rest.select("pack_id", "capacity", "item", "size", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
-    first = stash(_round(items, parts == 1, 0))
-    goes, n_round = first.where("goes_on").select("pack_id", "capacity", F.col("bin").alias("item"), F.col("fill").alias("size")).distinct(), 0
-    moves = None
+    first = stash(_round(items, parts == 1, 0))  # the lazy result reads it
+    moves, n_round, done = None, 0, first
     while parts > 1:
-        parts = math.ceil(parts / FAN)
+        goes = done.where("goes_on").groupBy("pack_id", "capacity", F.col("bin").alias("item")).agg(F.first("fill").alias("size"))
+        held = [r[0] for r in goes.groupBy("pack_id").agg(F.count("*")).select(F.col("count(1)")).collect()]  # one row per capacity
+        if not held:
+            break
+        parts = math.ceil(max(held) / part_items)
         n_round += 1
-        nxt = goes.select("pack_id", "capacity", "item", "size", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int").alias("part"))
+        nxt = goes.select("pack_id", "capacity", "item", "size", F.pmod(F.xxhash64("item", F.lit(n_round)), F.lit(parts)).cast("int").alias("part"))
         done = cut(_round(nxt, parts == 1, n_round))
         step = done.select("pack_id", F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("fill").alias("to_fill"))
         if moves is None:
@@ -132,7 +133,8 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", part_items: i
         else:  # follow the bins that moved on again
             s = step.select("pack_id", F.col("bin").alias("to"), F.col("to").alias("to2"), F.col("to_fill").alias("fill2"))
             moves = moves.join(s, ["pack_id", "to"], "left").select("pack_id", "bin", F.coalesce("to2", "to").alias("to"), F.coalesce("fill2", "to_fill").alias("to_fill"))
-        goes = done.where("goes_on").select("pack_id", "capacity", F.col("bin").alias("item"), F.col("fill").alias("size")).distinct()
+        if done.agg(F.count_distinct("pack_id", "bin")).first()[0] > sum(held) * (1 - 1 / WORTH):
+            break
     binned = first.select("pack_id", "item", "bin", "fill")
     if moves is not None:
         binned = binned.join(cut(moves), ["pack_id", "bin"], "left").select("pack_id", "item", F.coalesce("to", "bin").alias("bin"), F.coalesce("to_fill", "fill").alias("fill"))
@@ -143,8 +145,13 @@ def pack(sizes: DataFrame, limits: DataFrame, key: str = "doc_id", part_items: i
     return out.unionByName(full.select("pack_id", "bin_id", "doc_id", "piece", F.col("size").alias("tokens"), "bin_tokens"))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast where a count allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """(pack_id, capacity, bins, tokens, least_bins, fill_share): least_bins is what no packing can undercut."""
     b = packed.groupBy("pack_id").agg(F.count_distinct("bin_id").alias("bins"), F.sum("tokens").alias("tokens"))
     lim = limits.select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("bigint").alias("capacity"))
-    return b.join(F.broadcast(lim.limit(1000)), "pack_id").select("pack_id", "capacity", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("fill_share"))
+    return b.join(_few(lim), "pack_id").select("pack_id", "capacity", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("fill_share"))
