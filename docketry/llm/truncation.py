@@ -33,6 +33,8 @@ TERMINAL = 0.2
 MARKS = r"(?:\\s|\\.\\.+|…|�|&#?\\w{0,6}$|<\\/?\\w{0,6}$|\\[\\s*(?:…|\\.\\.\\.|more|cut|truncated|continued)[^\\]]*\\]?$|\\((?:more|continued|cont\\.?|truncated)\\)$|(?i:\\bread more$|\\bcontinue reading$))+$"
 #: Those marks and the final trigram are looked for in so many last pieces between blanks.
 LAST = 16
+#: Characters that mostly hold these pieces; where they don't the whole text is split.
+NEAR = 600
 
 #: Of a trigram g: A, 0 or a for each word, with a full stop or a comma for its closing mark.
 SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(g, '[^ .!?,;:"”’)\\]A0^]+', 'a'), '[.!?]["”’)\\]]*', '.'), '[,;:"”’)\\]]+', ',')"""
@@ -41,7 +43,8 @@ SHAPE = r"""regexp_replace(regexp_replace(regexp_replace(g, '[^ .!?,;:"”’)\\
 _CUT = """
 ended AS (
   SELECT id, state, left(body, length(body) - n) AS head, right(body, n) AS tail
-  FROM (SELECT id, state, body, length(substring_index(replace(replace(body, '\n', ' '), '\t', ' '), ' ', -{last})) AS n FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> '')
+  FROM (SELECT id, state, body, if(n < {near}, n, length(substring_index(replace(replace(body, '\n', ' '), '\t', ' '), ' ', -{last}))) AS n
+    FROM (SELECT id, state, body, length(substring_index(replace(replace(right(body, {near}), '\n', ' '), '\t', ' '), ' ', -{last})) AS n FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> ''))
 ), cut AS (
   SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail FROM ended
 )
@@ -54,7 +57,7 @@ WITH {cut}, tokens AS (
   SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT {hint} concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
 SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen,
-       count_if(w3 IS NULL OR w3 = '' OR right(rtrim('"”’)]', w2), 1) IN ('.', '!', '?') AND left(w3, 1) IN ('A', '"', '“', '‘')) AS closes
+       count_if(w3 IS NULL OR w3 = '' OR left(w3, 1) IN ('A', '"', '“', '‘') AND right(rtrim('"”’)]', w2), 1) IN ('.', '!', '?')) AS closes
 FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) AS (w0, w1, w2, w3) FROM tokens) WHERE w2 <> ''
 GROUP BY 1
 """
@@ -97,7 +100,7 @@ def judge(bodies: DataFrame) -> DataFrame:
     copies.createOrReplaceTempView(f"copies_{tag}")
     # few ids are sent to the texts; else the texts would be shuffled
     hint = "/*+ BROADCAST(c) */" if copies.count() <= BROADCAST_ROWS else ""
-    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST), "words": _WORDS.format(t="text"), "last": LAST, "shape": SHAPE, "hint": hint}
+    common = {"copies": f"copies_{tag}", "cut": _CUT.format(bodies=f"bodies_{tag}", marks=MARKS, last=LAST, near=NEAR), "words": _WORDS.format(t="text"), "last": LAST, "near": NEAR, "shape": SHAPE, "hint": hint}
     cut(spark.sql(COUNTS.format(**common))).createOrReplaceTempView(f"counts_{tag}")
     cut(spark.sql(FINALS.format(**common))).createOrReplaceTempView(f"finals_{tag}")
     return spark.sql(SQL.format(counts=f"counts_{tag}", finals=f"finals_{tag}", shape=SHAPE, frequent=FREQUENT, terminal=TERMINAL))
