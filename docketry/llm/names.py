@@ -13,7 +13,9 @@ equality within one line of business (or given name).  A shared form is the
 stronger evidence the rarer it is, which gives a link its score; an edit
 distance of at most two (one for short words) confirms it.  Keys that
 are linked so, or by standing in one row as raw and canonical name, are one
-entity.
+entity.  An open name (an initial in place of a given name) that fits several
+entities by slips goes to the one whose best score leaves the others behind by
+``MARGIN``, and to none where the scores don't tell them apart.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ from docketry.llm.components import groups
 #: Keys of one form that are compared in one group; more are spread over pairs of tiles.
 TILE = 1000
 
+#: The best entity of an open name scores so many times as high as the next.
+MARGIN = 1.5
+
 #: Kinds of company and their abbreviations.
 KINDS = {
     "associates": "associates assoc assocs assc asscs associate", "group": "group grp grps", "holdings": "holdings hldg hldgs holding", "services": "services svc svcs serv servs service",
@@ -211,8 +216,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         memo.clear()
                     memo[x] = parse(x)
                 ks.append(memo[x])
-            out.append(["|".join(k) if k else None for k in ks])
-        yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, pa.string()) for c in out)], names=["id", "raw_key", "canon_key"])
+            ks = ["|".join(k) if k else None for k in ks]
+            out += [pa.array(ks, pa.string()), pa.array([_full(k) for k in ks], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([b.column("id"), *out], names=["id", "raw_key", "raw_full", "canon_key", "canon_full"])
 
 
 def _full(k: str | None) -> bool:
@@ -224,8 +230,24 @@ def _full(k: str | None) -> bool:
 
 
 def keyed(defendants: DataFrame) -> DataFrame:
-    """(id, raw_key, canon_key); the keys of names that name nobody are null."""
-    return defendants.select("id", "raw_name", "canonical_name").mapInArrow(_keys, f"id {dict(defendants.dtypes)['id']}, raw_key string, canon_key string")
+    """(id, raw_key, raw_full, canon_key, canon_full); the keys of names that name nobody are null."""
+    return defendants.select("id", "raw_name", "canonical_name").mapInArrow(_keys, f"id {dict(defendants.dtypes)['id']}, raw_key string, raw_full boolean, canon_key string, canon_full boolean")
+
+
+def _spread(keys: DataFrame) -> DataFrame:
+    """Distinct keys over all cores: few bytes become many forms."""
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
+
+
+def _exploded(keys: DataFrame, column: str, make) -> DataFrame:
+    """(column, part): what ``make`` lists for each key of a column, in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            parts = [(k, x) for k in b.column(0).to_pylist() for x in make(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.string()), pa.array([x for _, x in parts], pa.string())], names=[column, "part"])
+
+    return keys.select(column).mapInArrow(run, f"{column} string, part string")
 
 
 def _explode_forms(batches, initials: bool = True):
@@ -268,7 +290,7 @@ def key_links(keys: DataFrame) -> DataFrame:
     distance.  The keys of a form that many share are dealt to tiles, and each
     pair of tiles is a group of its own, so that no task gets all of a form.
     """
-    f = keys.select("key").mapInArrow(partial(_explode_forms, initials=False), "form string, key string, word string").select("form", "key")
+    f = _spread(keys.select("key")).mapInArrow(partial(_explode_forms, initials=False), "form string, key string, word string").select("form", "key")
     shared = f.groupBy("form").agg(F.count("*").alias("shared")).where("shared > 1").withColumn("tiles", F.ceil(F.col("shared") / TILE).cast("int"))
     own, other = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     f = f.join(shared, "form")
@@ -280,13 +302,23 @@ def key_links(keys: DataFrame) -> DataFrame:
 
 def _confirm_open(batches):
     for b in batches:
-        i, e = [], []
-        for n, (x, y) in enumerate(zip(b.column("raw_key").to_pylist(), b.column("key").to_pylist())):
+        i, score = [], []
+        for n, (x, y, shared) in enumerate(zip(*(b.column(c).to_pylist() for c in ("raw_key", "key", "shared")))):
             p, q = x.split("|"), y.split("|")
-            if _given_fits(p[2], q[2]) and osa(p[1], q[1], 2) <= (2 if min(len(p[1]), len(q[1])) >= 8 else 1):
+            d = osa(p[1], q[1], 2)
+            if _given_fits(p[2], q[2]) and d <= (2 if min(len(p[1]), len(q[1])) >= 8 else 1):
                 i.append(n)
+                score.append(1.0 / shared / (1 + d))
         idx = pa.array(i, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("raw_key").take(idx), b.column("entity").take(idx)], names=["raw_key", "entity"])
+        yield pa.RecordBatch.from_arrays([b.column("raw_key").take(idx), b.column("entity").take(idx), pa.array(score, pa.float64())], names=["raw_key", "entity", "score"])
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """(raw_key, entity) of the open names whose best entity leaves the next behind by ``MARGIN``."""
+    one = scored.groupBy("raw_key", "entity").agg(F.max("score").alias("score"))
+    top = one.groupBy("raw_key").agg(F.max(F.struct("score", "entity")).alias("b"))
+    rest = one.join(top, "raw_key").where(F.col("entity") != F.col("b.entity")).groupBy("raw_key").agg(F.max("score").alias("next"))
+    return top.join(rest, "raw_key", "left").where(F.col("b.score") >= MARGIN * F.coalesce("next", F.lit(0.0))).select("raw_key", "b.entity")
 
 
 def entities(defendants: DataFrame) -> DataFrame:
@@ -298,8 +330,7 @@ def entities(defendants: DataFrame) -> DataFrame:
     name decides; without one the row joins the only entity that fits, if there
     is just one.
     """
-    is_full = F.udf(_full, "boolean")
-    rows = cut(keyed(defendants).where("raw_key IS NOT NULL").withColumn("raw_full", is_full("raw_key")).withColumn("canon_full", F.coalesce(is_full("canon_key"), F.lit(False))))
+    rows = cut(keyed(defendants).where("raw_key IS NOT NULL"))
     key = F.when(F.col("raw_full"), F.col("raw_key")).when(F.col("canon_full"), F.col("canon_key"))
     full = rows.withColumn("key", key)
     keys = cut(full.where("key IS NOT NULL").select(F.explode(F.array_compact(F.array("key", F.when(F.col("canon_full"), F.col("canon_key"))))).alias("key")).distinct())
@@ -309,14 +340,16 @@ def entities(defendants: DataFrame) -> DataFrame:
     entity = cut(keys.join(found.select(F.col("id").alias("key"), "group_id"), "key", "left").select("key", F.coalesce("group_id", "key").alias("entity")))
     sure = full.where("key IS NOT NULL").join(entity, "key").select("id", "entity")
     # open names: join on what they do say, if only one entity says the same
-    part = F.udf(_parts, "array<string>")
-    says = entity.select(F.explode(part("key")).alias("part"), "entity").groupBy("part").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("part", "entity")
+    says = _exploded(entity, "key", _parts).join(entity, "key").groupBy("part").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("part", "entity")
     none = full.where("key IS NULL")
-    exact = none.select("raw_key").distinct().select("raw_key", F.explode(F.udf(_open_parts, "array<string>")("raw_key")).alias("part")).join(says, "part").groupBy("raw_key").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("raw_key", "entity")
+    exact = _exploded(none.select("raw_key").distinct(), "raw_key", _open_parts).join(says, "part").groupBy("raw_key").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("raw_key", "entity")
     # the surname may be misspelt, too: its forms meet those of the known keys
     loose = none.where("raw_key LIKE 'P|%'").join(exact, "raw_key", "left_anti").select(F.col("raw_key").alias("key")).distinct()
-    near = loose.mapInArrow(_explode_forms, "form string, key string, word string").select("form", F.col("key").alias("raw_key")).join(entity.where("key LIKE 'P|%'").select("key").mapInArrow(_explode_forms, "form string, key string, word string").select("form", "key"), "form").select("raw_key", "key").distinct()
-    close = near.join(entity, "key").select("raw_key", "key", "entity").mapInArrow(_confirm_open, "raw_key string, entity string").groupBy("raw_key").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("raw_key", "entity")
+    shape = "form string, key string, word string"
+    theirs = _spread(entity.where("key LIKE 'P|%'").select("key")).mapInArrow(_explode_forms, shape).select("form", "key")
+    shared = theirs.groupBy("form").agg(F.count("*").alias("shared"))
+    near = _spread(loose).mapInArrow(_explode_forms, shape).select("form", F.col("key").alias("raw_key")).join(theirs, "form").join(shared, "form").groupBy("raw_key", "key").agg(F.min("shared").alias("shared"))
+    close = _best(near.join(entity, "key").select("raw_key", "key", "entity", "shared").mapInArrow(_confirm_open, "raw_key string, entity string, score double"))
     known = cut(exact.union(close))
     open_ = none.join(known, "raw_key").select("id", "entity")
     # open names that fit no known entity are one among themselves if they are spelt alike

@@ -239,6 +239,15 @@ def test_entities(spark):
     assert got == {*itertools.combinations("1234", 2), ("6", "8"), ("10", "9")}
 
 
+def test_scores_choose_among_entities(spark, monkeypatch):
+    """An open, misspelt name fits two entities by slips; the nearer one by score takes it, and none does if scores may not tell."""
+    rows = [("1", "Samuel Wibomejurak", None), ("2", "Susan Wibomejuxak", None), ("3", "S. Wibomejurk", None)]
+    d = spark.createDataFrame(rows, "id string, raw_name string, canonical_name string")
+    got = {(r.id_a, r.id_b) for r in names.pairs(names.entities(d)).collect()}
+    monkeypatch.setattr(names, "MARGIN", 100.0)
+    assert (got, {(r.id_a, r.id_b) for r in names.pairs(names.entities(d)).collect()}) == ({("1", "3")}, set())
+
+
 def test_forms_meet():
     rng = random.Random(5)
     for _ in range(300):
