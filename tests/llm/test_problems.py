@@ -131,6 +131,7 @@ def test_near_duplicates(spark, n, least):
     links = neardup.class_links(sk, least)
     got = {(r.id_a, r.id_b) for r in neardup.member_pairs(sk, links).collect()}
     assert got == want
+    assert {(r.id_a, r.id_b) for r in neardup.member_pairs(sk, neardup.class_links(sk, least, exact=True)).collect()} == want
     cl = {r.id: r for r in neardup.classes(sk, links).collect()}
     assert len(cl) == len(docs) and cl["x2"].class_id == "x2" and cl["x3"].class_size == 1
 
@@ -142,6 +143,14 @@ def test_tiles_of_a_hot_block(spark, monkeypatch):
     docs = [(f"{i:03d}", " ".join([*base[:60], f"x{i}", *base[60:]])) for i in range(50)]
     sk = stash(neardup.sketches(spark.createDataFrame(docs, "id string, text string"), "id", "text", 3))
     assert neardup.member_pairs(sk, neardup.class_links(sk, 0.5)).count() == 50 * 49 // 2
+    assert neardup.member_pairs(sk, neardup.class_links(sk, 0.5, exact=True)).count() == 50 * 49 // 2
+
+
+def test_recall_of_the_blocks(spark):
+    """On a stored table the blocks find what all tiles find."""
+    sk = neardup.page_sketches(spark.read.parquet(f"{DATA}/enforcement_actions.parquet"), 3)
+    found = [{(r.fa, r.fb) for r in neardup.class_links(sk, 0.5, exact=e).collect()} for e in (False, True)]
+    assert found[0] <= found[1] and len(found[0]) >= 0.99 * len(found[1]) > 0
 
 
 # --- 4 ---------------------------------------------------------------------------
