@@ -68,7 +68,7 @@ def read_pages(actions: DataFrame, want: tuple[str, ...], keep: tuple[str, ...]
                     out["site"].append(site)
                 if need_body:
                     drop = set(site)
-                    body = "\n".join(x for n, x in enumerate(lines[0], 1) if n not in drop) if t else ""
+                    body = "\n".join(x for n, x in enumerate(lines[0], 1) if n not in drop).rstrip() if t else ""
                     bodies.append(body)
                     if "body" in out:
                         out["body"].append(body)

@@ -44,7 +44,7 @@ _CUT = """
 ended AS (
   SELECT id, state, left(body, length(body) - n) AS head, right(body, n) AS tail
   FROM (SELECT id, state, body, if(n < {near}, n, length(substring_index(replace(replace(body, '\n', ' '), '\t', ' '), ' ', -{last}))) AS n
-    FROM (SELECT id, state, body, length(substring_index(replace(replace(right(body, {near}), '\n', ' '), '\t', ' '), ' ', -{last})) AS n FROM (SELECT id, state, rtrim(' \n', body) AS body FROM {bodies}) WHERE body <> ''))
+    FROM (SELECT id, state, body, length(substring_index(replace(replace(right(body, {near}), '\n', ' '), '\t', ' '), ' ', -{last})) AS n FROM {bodies} WHERE body <> ''))
 ), cut AS (
   SELECT id, state, head, regexp_replace(tail, '{marks}', '') AS tail FROM ended
 )
@@ -56,10 +56,11 @@ COUNTS = """
 WITH {cut}, tokens AS (
   SELECT concat(array('^', '^'), {words}) AS t FROM (SELECT {hint} concat(head, tail) AS text FROM cut LEFT ANTI JOIN {copies} c ON cut.id = c.id) WHERE text <> ''
 )
-SELECT concat_ws(' ', w0, w1, w2) AS g, count(*) AS seen,
+SELECT concat_ws(' ', w0, w1, w2) AS g, seen, closes FROM (
+SELECT w0, w1, w2, count(*) AS seen,
        count_if(w3 IS NULL OR w3 = '' OR left(w3, 1) IN ('A', '"', '“', '‘') AND right(rtrim('"”’)]', w2), 1) IN ('.', '!', '?')) AS closes
 FROM (SELECT inline(arrays_zip(t, slice(t, 2, size(t)), slice(t, 3, size(t)), slice(t, 4, size(t)))) AS (w0, w1, w2, w3) FROM tokens) WHERE w2 <> ''
-GROUP BY 1
+GROUP BY w0, w1, w2)
 """
 
 #: Final trigrams of all texts, from their last {last} pieces.
@@ -92,7 +93,7 @@ def judge(bodies: DataFrame) -> DataFrame:
     """
     spark, tag = bodies.sparkSession, uuid.uuid4().hex
     bodies.createOrReplaceTempView(f"bodies_{tag}")
-    body = F.expr("rtrim(' \n', body)")
+    body = F.col("body")
     same = bodies.where("body <> ''").select("id", F.xxhash64(body).alias("h"), F.hash(body).alias("k"), F.length(body).alias("n"))
     # all copies of a body but the one with the smallest id
     first = same.groupBy("h", "k", "n").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
