@@ -7,11 +7,13 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.operators.graph import labels
+from docketry import config
+from docketry.functions import fixed
+from docketry.operators.graph import checkpointed, labels
 
 WINDOW_DAYS, MULTISTATE_DAYS = 30, 730
 LEAST_NAME, LEAST_CONFIDENCE, LEAST_HEADLINE, SIMILAR_AMOUNT = 80, 0.5, 70, 0.9
@@ -57,6 +59,11 @@ def _sorted_all(names: pd.Series) -> pd.Series:
     return pd.Series([[sorted_tokens(x) for x in ([] if v is None else v)] for v in names], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _sorted_one(names: pd.Series) -> pd.Series:
+    return pd.Series([sorted_tokens(x) for x in names], dtype=object)
+
+
 def _letters(names: list[str]) -> np.ndarray:
     """Number of letters of each name by the last five bits of their code."""
     out = np.zeros((len(names), 32), np.int16)
@@ -99,9 +106,11 @@ def similar_names(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
                         s.append(score)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string()), pa.array(s, pa.int32())], names=["left_key", "right_key", "score"])
 
-    fits = 200 * F.least("n_l", "n_r") >= (least - 0.5) * (F.col("n_l") + F.col("n_r"))
-    pairs = tiles(left, "l").crossJoin(tiles(right, "r")).where(fits)
-    spread = pairs.repartition(F.col("n_l"), F.col("tile_l"), F.col("n_r"), F.col("tile_r"))
+    # lengths of the right side that allow the score: 200 * shorter >= limit * (sum of both)
+    limit = least - 0.5
+    low, high = F.ceil(F.col("n_l") * limit / (200 - limit) - 1e-9), F.floor(F.col("n_l") * (200 - limit) / limit + 1e-9)
+    met = tiles(left, "l").withColumn("n_r", F.explode(F.sequence(low.cast("int"), high.cast("int")))).join(tiles(right, "r"), "n_r")
+    spread = met.repartition(F.col("n_l"), F.col("tile_l"), F.col("n_r"), F.col("tile_r"))
     return spread.select("l", "r").mapInArrow(compare, "left_key string, right_key string, score int")
 
 
@@ -153,85 +162,123 @@ def clusters(pairs: DataFrame, cand: DataFrame) -> DataFrame:
     return out.where(F.size("ids") > 1).select(F.sha2(F.array_join("ids", ","), 256).alias("cluster_id"), F.size("ids").alias("members"), F.array_join("states", ",").alias("states"), F.col("first.state").alias("lead_state"), F.col("first.id").alias("lead_action"), name.alias("name"), "total_amount")
 
 
-def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 365, prefix: int = 5000, multistate: tuple[float, int] | None = None) -> DataFrame:
+def link_back(actions: DataFrame, links: DataFrame, names: DataFrame, money: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(multistate_actions rows, actions with their multistate_action_id) from the duplicate pairs among multistate actions."""
+    multi = candidates(actions.where("is_multistate"), links, names, money)
+    pairs = duplicate_pairs(multi).where("match_type = 'multistate'")
+    ids = labels(pairs, "action_id_a", "action_id_b")
+    cluster = ids.groupBy("label").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("id")), ","), 256).alias("cluster_id"))
+    of = ids.join(cluster, "label").select("id", "cluster_id")
+    c = clusters(pairs, multi)
+    rows = c.select(F.col("cluster_id").alias("id"), "name", "lead_state", F.split("states", ",").alias("participating_states"), F.col("total_amount").alias("total_settlement"))
+    kept = [x for x in actions.columns if x != "multistate_action_id"]
+    old = F.col("multistate_action_id") if "multistate_action_id" in actions.columns else F.lit(None).cast("string")
+    linked = actions.withColumn("_old", old).join(of, "id", "left").select(*kept, F.coalesce("cluster_id", "_old").alias("multistate_action_id"))
+    return rows, linked
+
+
+def bands(rows: DataFrame, top: int = 10, tolerance: float = 0.01, days: int = 365, multistate: tuple[float, int] | None = None, inclusive: bool = False) -> DataFrame:
     """Greedy settlement groups: the largest unclaimed amount seeds a group and claims what lies within ``tolerance`` and ``days`` of it.
 
     multistate: another (tolerance, days) for seeds that are multistate.
-    rows: (id, state, date, amount, headline, multistate).  Only amounts within
-    the tolerance of a seed can join it, and seeds go down in amount, so the
-    ``top`` groups lie in a prefix of the amounts.  The prefix read is bounded
-    (a top-k report); it is doubled until it holds all groups.
+    inclusive: the band reaches from (1 - tolerance) to (1 + tolerance) times
+    the seed, bounds included; else an amount has to differ by less than the
+    tolerance of the larger of seed and 1.  Undated rows join only their own
+    seed (inclusive) or groups of any date that allows 9,999 days.
+    rows: (id, state, date, amount, headline, multistate).
+
+    Seeds go down in amount, so one group is one question to the table: the
+    largest amount below which nothing is claimed yet.  What a group claims is
+    read as counts by state; claimed rows are told by the list of the seeds so
+    far, ``top`` at most, and never collected.
     """
     spark = rows.sparkSession
-    want = rows.where("amount > 0").orderBy(F.desc("amount"), F.asc("date"), "id")
-    while True:
-        data = want.limit(prefix).collect()
-        groups, left = [], list(data)
-        while left and len(groups) < top:
-            seed = left[0]
-            tol, most = multistate if multistate and seed["multistate"] else (tolerance, days)
-            near = [r for r in left if float(abs(r["amount"] - seed["amount"])) < tol * float(max(seed["amount"], 1)) and (abs((r["date"] - seed["date"]).days) if r["date"] and seed["date"] else 9999) <= most or r["id"] == seed["id"]]
-            ids = {r["id"] for r in near}
-            groups.append((len(groups) + 1, seed["id"], seed["headline"], seed["amount"], sorted({r["state"] for r in near}), len(near), len({r["state"] for r in near}) > 1 or bool(seed["multistate"])))
-            left = [r for r in left if r["id"] not in ids]
-        complete = len(data) < prefix or (len(groups) == top and float(data[-1]["amount"]) < (1 - max(tolerance, multistate[0] if multistate else 0.0)) * float(groups[-1][3]))
-        if complete:
+    want = rows.where("amount > 0").select("id", "state", "date", "amount", "headline", F.coalesce("multistate", F.lit(False)).alias("multistate"))
+
+    def claims(seed: dict) -> Column:
+        tol, most = multistate if multistate and seed["multistate"] else (tolerance, days)
+        a, amount = F.col("amount").cast("double"), float(seed["amount"])
+        near = a.between(amount * (1 - tol), amount * (1 + tol)) if inclusive else F.abs(a - amount) < tol * max(amount, 1.0)
+        gap = F.abs(F.datediff("date", F.lit(seed["date"]))) if seed["date"] else F.lit(None).cast("int")
+        return (near & F.coalesce(gap <= most, F.lit(False if inclusive else most >= 9999))) | (F.col("id") == seed["id"])
+
+    found: list[tuple] = []
+    left = checkpointed(want)  # few columns of the rows with an amount; read twice a group
+    while len(found) < top:
+        # as a group is asked for, only rows that no seed has claimed are in question
+        seed = left.orderBy(F.desc("amount"), F.asc("date"), "id").limit(1).collect()
+        if not seed:
             break
-        prefix *= 2
-    return spark.createDataFrame([(g[0], g[1], g[2], g[3], ",".join(g[4]), g[5], g[6]) for g in groups], "rank int, seed string, headline string, amount decimal(18,2), states string, members int, multistate boolean")
+        seed = seed[0].asDict()
+        mine = claims(seed)
+        by_state = left.where(mine).groupBy("state").agg(F.count("*").alias("n"), F.bool_or("multistate").alias("m")).collect()
+        states = sorted(r["state"] for r in by_state if r["state"] is not None)
+        flag = any(r["m"] for r in by_state) if inclusive else bool(seed["multistate"])
+        found.append((len(found) + 1, seed["id"], seed["headline"], seed["date"], seed["amount"], ",".join(states), sum(r["n"] for r in by_state), len(by_state) > 1 or flag))
+        left = left.where(~mine)
+    return spark.createDataFrame(found, "rank int, seed string, headline string, date date, amount decimal(18,2), states string, members bigint, multistate boolean")
 
 
 # --- entity resolution ------------------------------------------------------
-#: Legal forms at the end of a name; leading articles.
-SUFFIX = r"(?i),?\s*\b(?:Inc\.?|Incorporated|Corp\.?|Corporation|LLC|L\.L\.C\.?|Ltd\.?|Limited|L\.P\.?|LP|LLP|Co\.?|Company|PLC|NA|N\.A\.?|et\s+al\.?)\s*$"
-
-
 def clean_name(raw: Column) -> Column:
-    """Name without trailing sentence fragments, leading article and (up to three) legal forms, in title case if it was all upper or lower."""
+    """Name without trailing sentence fragments, leading descriptions and article, and (up to three) legal forms; in title case if it was all upper or lower."""
     n = F.trim(F.coalesce(raw, F.lit("")))
-    n = F.regexp_replace(n, r"(?i)\s*(?:(?:claiming|alleging|asserting|accusing)\s+(?:that|the)|regarding|over\s+the|for\s+(?:violating|illegally|deceptive|failing)).*$", "")
-    n = F.regexp_replace(F.rtrim(n), r"[,.]+$", "")
+    n = F.regexp_replace(F.trim(F.regexp_replace(n, "(?i)" + fixed.TRAILING, "")), r"[,.]+$", "")
+    n = F.trim(F.regexp_replace(n, "(?i)" + fixed.LEADING, ""))
     n = F.regexp_replace(n, r"^(?i:The|A|An)\s+", "")
     for _ in range(3):
-        n = F.regexp_replace(F.trim(F.regexp_replace(n, SUFFIX, "")), r"[,.]+$", "")
+        n = F.regexp_replace(F.trim(F.regexp_replace(n, "(?i)" + fixed.SUFFIX, "")), r"[,.]+$", "")
     n = F.trim(F.regexp_replace(n, r"\s+", " "))
     return F.when((n == F.upper(n)) | (n == F.lower(n)), F.initcap(n)).otherwise(n)
 
 
-def is_name(name: Column) -> Column:
-    """Whether a cleaned name may be canonical: 3 to 120 characters with a letter, no mere digits or filler word, not a lower-case start."""
-    return F.length(name).between(3, 120) & name.rlike(r"\p{L}") & ~name.rlike(r"^\p{Ll}") & ~F.lower(name).isin("unknown", "the company", "defendants", "defendant", "various", "others", "n/a", "tbd", "the owner")
+def is_name(name: Column, folder: str | None = None) -> Column:
+    """Whether a cleaned name may be canonical: two characters or more, no stop word, not blocked, no fragment, no number."""
+    exact, patterns = config.blocklist(folder)
+    low = F.lower(F.trim(name))
+    bad = low.isin(*sorted({*fixed.NO_NAMES, *exact})) | name.rlike(fixed.any_of([*fixed.NO_NAME_PATTERNS, *patterns])) | low.rlike(r"^\d+$")
+    return (F.length(name) >= 2) & ((F.length(name) >= 3) | name.rlike("^[A-Z0-9]{2,3}$")) & ~bad
 
 
-def resolve(names: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, accept: int = 85, review: int = 70) -> DataFrame:
-    """(raw_name, cleaned, canonical_name, confidence, how) of each distinct raw name.
+def resolve(names: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, metadata: DataFrame | None = None, accept: int = 85, review: int = 70, folder: str | None = None) -> DataFrame:
+    """(raw_name, cleaned, canonical_name, confidence, how, candidate, score, entity_type, industry, sec_cik) of each distinct raw name.
 
-    canonical: (name), a table of its own; aliases: (alias, name).  First an
-    exact match of the cleaned or the raw name (confidence 1), then the best
-    token_sort among canonical names that share a word and have a length
-    within [0.4, 2.5] (from ``accept``: its score; from ``review``: to be
-    looked at, the name stays), else a new name (0.5); invalid names give an
-    empty one (0).
+    canonical: (name), a table of its own; aliases: (alias, name); metadata:
+    (name, entity_type, industry, sec_cik).  First an exact match of the
+    cleaned or the raw name (confidence 1), then the best token_sort among all
+    canonical names of a length within [0.4, 2.5] (from ``accept``: its score;
+    from ``review``: to be looked at, the name stays and candidate and score
+    say what it might be), else a new name (0.5); invalid names give an empty
+    one (0).  The comparison is exact (``similar_names``); ties go to the
+    first name.
     """
     raw = names.select("raw_name").where("raw_name IS NOT NULL").distinct().withColumn("cleaned", clean_name(F.col("raw_name")))
+    raw = raw.withColumn("ok", is_name(F.col("cleaned"), folder))
     known = canonical.select(F.lower("name").alias("key"), "name")
     if aliases is not None:
         known = known.union(aliases.select(F.lower("alias"), "name"))
     known = known.groupBy("key").agg(F.min("name").alias("name"))
-    hit = raw.withColumn("key", F.explode(F.array_distinct(F.array(F.lower("cleaned"), F.lower(F.trim("raw_name")))))).join(known, "key").groupBy("raw_name").agg(F.min_by("name", F.when(F.col("key") == F.lower("cleaned"), 0).otherwise(1)).alias("exact"))
-    rest = raw.join(hit, "raw_name", "left_anti").where(is_name(F.col("cleaned")) & (F.length("cleaned") >= 4))
-    split = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3)))
-    cw = canonical.select("name").distinct().where(F.length("name") >= 4).select("name", split("name").alias("w"))
-    freq = cw.groupBy("w").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("name").orderBy("f", "w")
-    # a canonical name is met by its two rarest words
-    rare = cw.join(freq, "w").withColumn("r", F.row_number().over(w)).where("r <= 2").select("w", "name")
-    pairs = rest.select("raw_name", "cleaned", split("cleaned").alias("w")).join(rare, "w").select("raw_name", "cleaned", "name").distinct().where((F.length("cleaned") / F.length("name")).between(0.4, 2.5))
-    best = pairs.withColumn("score", token_sort_ratio("cleaned", "name")).groupBy("raw_name").agg(F.max(F.struct("score", F.col("name").alias("name"))).alias("b"))
-    s = F.col("b.score")
+    hit = raw.where("ok").withColumn("key", F.explode(F.array_distinct(F.array(F.lower("cleaned"), F.lower(F.trim("raw_name")))))).join(known, "key").groupBy("raw_name").agg(F.min_by("name", F.when(F.col("key") == F.lower("cleaned"), 0).otherwise(1)).alias("exact"))
+    rest = raw.where("ok").join(hit, "raw_name", "left_anti").where(F.length("cleaned") >= 4).select("raw_name", "cleaned", _sorted_one("cleaned").alias("left_key"))
+    targets = canonical.union(aliases.select("name")) if aliases is not None else canonical
+    targets = targets.distinct().where(F.length("name") >= 4).select("name", _sorted_one("name").alias("right_key"))
+    like = similar_names(rest.select(F.col("left_key").alias("key")).where("key <> ''").distinct(), targets.select(F.col("right_key").alias("key")).where("key <> ''").distinct(), review)
+    met = rest.join(like, "left_key").join(targets, "right_key").where((F.length("cleaned") / F.length("name")).between(0.4, 2.5))
+    best = met.groupBy("raw_name").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("name").alias("name"))).alias("b")).select("raw_name", F.col("b.name").alias("candidate"), (-F.col("b.s")).alias("score"))
     out = raw.join(hit, "raw_name", "left").join(best, "raw_name", "left")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(~is_name(F.col("cleaned")), "invalid").when(s >= accept, "fuzzy").when(s >= review, "review").otherwise("new")
-    return out.withColumn("how", how).select(
-        "raw_name", "cleaned", F.when(F.col("how") == "exact", F.col("exact")).when(F.col("how") == "fuzzy", F.col("b.name")).when(F.col("how") == "invalid", "").otherwise(F.col("cleaned")).alias("canonical_name"),
-        F.when(F.col("how") == "exact", 1.0).when(F.col("how") == "fuzzy", F.round(s / 100, 2)).when(F.col("how") == "invalid", 0.0).otherwise(0.5).alias("confidence"), "how",
+    how = F.when(~F.col("ok"), "invalid").when(F.col("exact").isNotNull(), "exact").when(F.col("score") >= accept, "fuzzy").when(F.col("score") >= review, "review").otherwise("new")
+    out = out.withColumn("how", how).select(
+        "raw_name", "cleaned", F.when(F.col("how") == "exact", F.col("exact")).when(F.col("how") == "fuzzy", F.col("candidate")).when(F.col("how") == "invalid", "").otherwise(F.col("cleaned")).alias("canonical_name"),
+        F.when(F.col("how") == "exact", 1.0).when(F.col("how") == "fuzzy", F.round(F.col("score") / 100, 2)).when(F.col("how") == "invalid", 0.0).otherwise(0.5).alias("confidence"), "how", "candidate", "score",
     )
+    if metadata is None:
+        return out.select("*", F.lit("corporation").alias("entity_type"), F.lit(None).cast("string").alias("industry"), F.lit(None).cast("string").alias("sec_cik"))
+    m = metadata.groupBy(F.col("name").alias("canonical_name")).agg(F.first("entity_type").alias("entity_type"), F.first("industry").alias("industry"), F.first("sec_cik").alias("sec_cik"))
+    return out.join(m, "canonical_name", "left").select(*out.columns, F.coalesce("entity_type", F.lit("corporation")).alias("entity_type"), "industry", "sec_cik")
+
+
+def resolved(defendants: DataFrame, found: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """Defendants whose canonical name is empty get the resolved one; keep_empty leaves them where the result is empty, too."""
+    f = found.select("raw_name", F.col("canonical_name").alias("_new"))
+    new = F.when(F.coalesce("canonical_name", F.lit("")) == "", F.when(F.lit(keep_empty) & (F.coalesce("_new", F.lit("")) == ""), F.col("canonical_name")).otherwise(F.coalesce("_new", "canonical_name"))).otherwise(F.col("canonical_name"))
+    return defendants.join(f, "raw_name", "left").select(*[new.alias(c) if c == "canonical_name" else F.col(c) for c in defendants.columns])

@@ -91,8 +91,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(timestamp, url) of an archive index with lines "timestamp url"; malformed lines are left out, the first capture of a path stays."""
-    lines = spark.read.text(path).select(F.split("value", " ", 2).alias("p")).where(F.size("p") == 2).select(F.col("p")[0].alias("timestamp"), https(F.trim(F.col("p")[1])).alias("url"))
+    """(timestamp, url, path) of an archive index with lines "timestamp url [status [type]]"; malformed lines, other states than 200 and other types than HTML are left out, the first capture of a path stays."""
+    p = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") >= 2)
+    ok = (F.coalesce(F.get("p", F.lit(2)), F.lit("200")) == "200") & (F.coalesce(F.get("p", F.lit(3)), F.lit("text/html")) == "text/html")
+    lines = p.where(ok & F.col("p")[0].rlike(r"^\d+$")).select(F.col("p")[0].alias("timestamp"), https(F.col("p")[1]).alias("url"))
     return lines.groupBy(F.lower(F.rtrim(F.try_parse_url(F.col("url"), F.lit("PATH")), F.lit("/"))).alias("path")).agg(F.min(F.struct("timestamp", "url")).alias("m")).select("m.timestamp", "m.url", "path")
 
 
@@ -106,12 +108,20 @@ def absolute(base: Column, href: Column) -> Column:
     return F.when(href.rlike("^[a-z]+://"), href).when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.regexp_replace(base, "[^/]*$", ""), href))
 
 
-def page_urls(sites: DataFrame, pages: int, base: str = "url", param: str = "page", start: int = 1) -> DataFrame:
-    """(…, page, page_url): addresses of a paginated listing."""
-    p = F.explode(F.sequence(F.lit(start), F.lit(start + pages - 1)))
-    out = sites.withColumn("page", p)
-    sep = F.when(F.col(base).contains("?"), "&").otherwise("?")
-    return out.withColumn("page_url", F.concat(F.col(base), sep, F.lit(param + "="), F.col("page").cast("string")))
+def page_urls(sites: DataFrame, pages: int, base: str = "url", param: str = "page", start: int = 1, pagination: str = "query_param") -> DataFrame:
+    """(…, page, page_url): addresses of a paginated listing.
+
+    ``query_param`` sets the parameter, in place of one that the address has;
+    ``none`` has the first page only; other kinds raise an error.
+    """
+    if pagination == "none":
+        return sites.withColumn("page", F.lit(start)).withColumn("page_url", F.col(base))
+    if pagination != "query_param":
+        raise ValueError(f"unknown pagination {pagination!r}")
+    out = sites.withColumn("page", F.explode(F.sequence(F.lit(start), F.lit(start + pages - 1))))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(base), rf"(?<=[?&]){re.escape(param)}=[^&#]*&?", ""), r"[?&](?=#|$)", ""), "#.*$", "")
+    sep = F.when(F.contains(bare, F.lit("?")), "&").otherwise("?")
+    return out.withColumn("page_url", F.concat(bare, sep, F.lit(param + "="), F.col("page").cast("string")))
 
 
 def listing(pages: DataFrame, url: str = "url", html: str = "html", must: str = r"/news", least_title: int = 15) -> DataFrame:

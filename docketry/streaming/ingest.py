@@ -21,10 +21,10 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, key: str = "source_ur
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         rows = transform(batch) if transform else batch
-        try:
-            stored = spark.read.parquet(store)
-        except Exception:  # the first batch
-            stored = rows.limit(0)
+        # only a folder that isn't there is a first batch; one that can't be read fails the batch
+        path = spark._jvm.org.apache.hadoop.fs.Path(store)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        stored = spark.read.parquet(store) if there else rows.limit(0)
         new_only(rows, stored, key).write.mode("append").parquet(store)
 
     w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
