@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,16 @@ def checkpoint_dir(spark) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise as a compressed table in the shared folder and cut the lineage.
+
+    A table read anew knows nothing of the plan that made it.  ``checkpoint``
+    keeps that plan's constraints, and in a loop of self-joins these double
+    every round.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def both_ways(e: DataFrame) -> DataFrame:
