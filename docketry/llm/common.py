@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.operators.graph import checkpoint_dir, checkpointed
+from docketry.operators.graph import checkpointed
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -21,14 +20,5 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    return checkpointed(df)
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but as a compressed table in the same folder; for wide rows that are read more than once."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Materialise and cut the lineage, in the shared folder.
+cut = stash = checkpointed

@@ -60,19 +60,16 @@ def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the arc (x, y); its path so far ends in (px, py), inner means that py still is one; low is the smallest id passed
     p = arcs.select("x", "y", F.col("y").alias("px"), other.alias("py"), F.col("y").alias("low"))
     ids = inner.select(F.col("y").alias("py"), F.lit(True).alias("inner"))
-    p, open_ = _counted(p.join(ids, "py", "left").select("x", "y", "px", "py", "low", F.coalesce("inner", F.lit(False)).alias("inner")))
-    last = k = -1
-    while True:
-        k += 1
-        # a round that closes no path leaves cycles only; their minimum is known once 2**k reaches round
-        if open_ == 0 or open_ == last and 2**k >= open_:
-            break
+    p, open_, _ = _counted(p.join(ids, "py", "left").select("x", "y", "px", "py", "low", F.coalesce("inner", F.lit(False)).alias("inner"), F.lit(True).alias("moved")))
+    last, moved = -1, 1
+    # a round that closes no path and moves no minimum leaves cycles only, and their minima are known
+    while open_ and (open_ != last or moved):
         last = open_
         nxt = p.select(F.col("x").alias("px"), F.col("y").alias("py"), F.col("px").alias("qx"), F.col("py").alias("qy"), F.col("low").alias("qlow"), F.col("inner").alias("qinner"))
-        p, open_ = _counted(
+        p, open_, moved = _counted(
             p.join(nxt, ["px", "py"], "left").select(
                 "x", "y", F.when(F.col("inner"), F.col("qx")).otherwise(F.col("px")).alias("px"), F.when(F.col("inner"), F.col("qy")).otherwise(F.col("py")).alias("py"),
-                F.when(F.col("inner"), F.least("low", "qlow")).otherwise(F.col("low")).alias("low"), F.when(F.col("inner"), F.col("qinner")).otherwise(F.col("inner")).alias("inner"),
+                F.when(F.col("inner"), F.least("low", "qlow")).otherwise(F.col("low")).alias("low"), F.when(F.col("inner"), F.col("qinner")).otherwise(F.col("inner")).alias("inner"), (F.col("inner") & (F.col("qlow") < F.col("low"))).alias("moved"),
             )
         )
     # each inner vertex y has two arcs into it; their path ends are the chain's ends
@@ -85,11 +82,11 @@ def _compress(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(kept.select("u", "v").union(links).distinct()), parents.where("x <> parent")
 
 
-def _counted(p: DataFrame) -> tuple[DataFrame, int]:
-    """``p`` materialised, and how many of its arcs still have an inner end; both in one job."""
+def _counted(p: DataFrame) -> tuple[DataFrame, int, int]:
+    """``p`` materialised, how many of its arcs still have an inner end, and of how many the minimum moved; all in one job."""
     seen = Observation()
-    p = cut(p.observe(seen, F.count_if("inner").alias("open")))
-    return p, int(seen.get["open"])
+    p = cut(p.observe(seen, F.count_if("inner").alias("open"), F.count_if("moved").alias("moved")))
+    return p, int(seen.get["open"]), int(seen.get["moved"])
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -101,10 +98,13 @@ def groups(links: DataFrame) -> DataFrame:
     removed: list[DataFrame] = []
     n, last = e.count(), -1
     while n and n != last:
-        last = n
-        for step in (_strip, _compress):
-            e, gone = step(e)
-            removed.append(gone)
+        e, gone = _strip(e)
+        removed.append(gone)
+        last, n = n, e.count()
+        if not n or removed[1:] and n == last:
+            break  # nothing to strip, and the chains are compressed
+        e, chains = _compress(e)
+        removed.append(chains)
         n = e.count()
     label = cut(stars(e)) if n else first.select(F.col("u").alias("x"), F.col("u").alias("label")).limit(0)
     for gone in reversed(removed):
