@@ -229,7 +229,9 @@ def clean_name(raw: Column) -> Column:
     for _ in range(3):
         n = F.regexp_replace(F.trim(F.regexp_replace(n, "(?i)" + fixed.SUFFIX, "")), r"[,.]+$", "")
     n = F.trim(F.regexp_replace(n, r"\s+", " "))
-    return F.when((n == F.upper(n)) | (n == F.lower(n)), F.initcap(n)).otherwise(n)
+    # every letter after something else is a capital, as in N/A and O'Neil
+    titled = F.array_join(F.transform(F.split(F.lower(n), r"(?<=[^\p{L}])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "")
+    return F.when((n == F.upper(n)) | (n == F.lower(n)), titled).otherwise(n)
 
 
 def is_name(name: Column, folder: str | None = None) -> Column:

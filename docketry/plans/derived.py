@@ -388,7 +388,7 @@ def _clean() -> str:
     for _ in range(3):
         n = f"regexp_replace(trim(regexp_replace({n}, {_re('(?i)' + fixed.SUFFIX)}, '')), '[,.]+$', '')"
     n = f"trim(regexp_replace({n}, '\\s+', ' ', 'g'))"
-    return f"SELECT id, CASE WHEN n = upper(n) OR n = lower(n) THEN array_to_string(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE n END AS cleaned FROM (SELECT id, {n} AS n FROM defendants)"
+    return f"SELECT id, CASE WHEN n = upper(n) OR n = lower(n) THEN array_to_string(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(n[i - 1], '\\p{{L}}') THEN upper(n[i]) ELSE lower(n[i]) END), '') ELSE n END AS cleaned FROM (SELECT id, {n} AS n FROM defendants)"
 
 
 def _variants() -> str:
