@@ -101,7 +101,7 @@ def closed(found: DataFrame) -> DataFrame:
 
 def covered(projected: DataFrame, found: DataFrame, key: str = "id") -> DataFrame:
     """(row, key, source, line_no): the lines of each document that lie in an occurrence of a sequence of ``found``."""
-    lengths = [r[0] for r in found.select("length").distinct().collect()]  # as many as levels
+    lengths = [r[0] for r in found.select("length").distinct().collect()] or [1]  # as many as levels
     f = _hint(found.select(F.col("source").alias("s"), F.col("h").alias("g"), F.col("length").alias("n")))
 
     def runs(n: int) -> Column:
