@@ -16,8 +16,9 @@ ROWS = 50
 
 def table(df: DataFrame, rows: int = ROWS) -> str:
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    body = ["| " + " | ".join("" if v is None else f"{v:,.2f}" if isinstance(v, float) else str(v).replace("|", "/") for v in r) + " |" for r in df.limit(rows).collect()]
-    return "\n".join([head, *body])
+    got = df.limit(rows + 1).collect()
+    body = ["| " + " | ".join("" if v is None else f"{v:,.2f}" if isinstance(v, float) else str(v).replace("|", "/") for v in r) + " |" for r in got[:rows]]
+    return "\n".join([head, *body, *([f"\nThe first {rows} of {df.count():,} rows."] if len(got) > rows else [])])
 
 
 def report(spark: SparkSession, root: str) -> str:

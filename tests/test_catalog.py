@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from docketry.plans import catalog, derived
+from docketry.plans import api, catalog, derived, report
 from docketry.tables import DDL, load, schema, schema_diff, violations
 
 DATA = "/root/testdata/sf0.001"
@@ -53,7 +53,7 @@ def empty(spark, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["o03_db_stats", "o06_get_action", "o11_top_defendants", "o15_list_states", "o25_report_types", "o29_year_over_year", "o43_category_trend", "j11_extract", "k04_resolve", "l04_duplicate_pairs", "l05_clusters", "l07_settlement_bands"])
+@pytest.mark.parametrize("name", ["o03_db_stats", "o06_get_action", "o11_top_defendants", "o15_list_states", "o25_report_types", "o29_year_over_year", "o43_category_trend", "j11_extract", "k04_resolve", "l04_duplicate_pairs", "l05_clusters", "l07_settlement_bands", "j01_verdict", "k05_review", "l06_linked", "m06_processed", "m06_children", "m08_backfilled", "m09_resolved", "o05_nested_actions", "o06_nested_action", "o33_dash_settlements", "o49_sample", "i03_details", "a08_scraped", "a11_archive"])
 def test_empty_tables(spark, empty, name):
     (catalog.QUERIES | derived.QUERIES)[name](spark, empty).collect()
 
@@ -68,3 +68,28 @@ def test_schema(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalog.QUERIES["o20_report_coverage"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(quality_score,0.1)" in plan and "raw_text" not in plan
+
+
+def test_pages_of_actions(spark):
+    first, second = (api.list_actions(spark, DATA, limit=20, offset=o).collect() for o in (0, 20))
+    whole = api.filtered(spark, DATA).select("id", "date_announced").collect()
+    want = [r.id for r in sorted(whole, key=lambda r: (-(r.date_announced.toordinal() if r.date_announced else -1), r.id))][:40]
+    assert [r.id for r in first + second] == want
+    one = api.get_action(spark, DATA, want[0]).collect()
+    assert len(one) == 1 and one[0].id == want[0] and api.get_action(spark, DATA, "none").count() == 0
+    assert api.filtered(spark, DATA, q="%_%").count() == 0
+    with pytest.raises(ValueError):
+        api.list_actions(spark, DATA, limit=501)
+
+
+def test_report_and_command_line(spark, capsys, monkeypatch, tmp_path):
+    from docketry import __main__ as cli
+
+    for args in (["list"], ["actions", DATA, "--state", "ca", "--limit", "3"], ["run", "o02_action_count", DATA, "--json", str(tmp_path / "j")], ["process", DATA, str(tmp_path / "out")]):
+        monkeypatch.setattr("sys.argv", ["docketry", *args])
+        cli.main()
+    out = capsys.readouterr().out
+    assert "o02_action_count" in out and '"state":"CA"' in out
+    assert load(spark, str(tmp_path / "out"), "enforcement_actions").count() == load(spark, DATA, "enforcement_actions").count()
+    text = report.report(spark, DATA)
+    assert "## Overview" in text and "## Quality" in text
