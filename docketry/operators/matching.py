@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from docketry import config
 from docketry.functions import fixed
+from docketry.functions.text import bind
 from docketry.operators.graph import checkpointed, labels
 
 WINDOW_DAYS, MULTISTATE_DAYS = 30, 730
@@ -229,9 +230,13 @@ def clean_name(raw: Column) -> Column:
     for _ in range(3):
         n = F.regexp_replace(F.trim(F.regexp_replace(n, "(?i)" + fixed.SUFFIX, "")), r"[,.]+$", "")
     n = F.trim(F.regexp_replace(n, r"\s+", " "))
-    # every letter after something else is a capital, as in N/A and O'Neil
-    titled = F.array_join(F.transform(F.split(F.lower(n), r"(?<=[^\p{L}])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "")
-    return F.when((n == F.upper(n)) | (n == F.lower(n)), titled).otherwise(n)
+
+    def cased(n: Column) -> Column:
+        # every letter after something else is a capital, as in N/A and O'Neil
+        titled = F.array_join(F.transform(F.split(F.lower(n), r"(?<=[^\p{L}])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))), "")
+        return F.when((n == F.upper(n)) | (n == F.lower(n)), titled).otherwise(n)
+
+    return bind(n, cased)
 
 
 def is_name(name: Column, folder: str | None = None) -> Column:
@@ -255,7 +260,7 @@ def resolve(names: DataFrame, canonical: DataFrame, aliases: DataFrame | None =
     first name.
     """
     raw = names.select("raw_name").where("raw_name IS NOT NULL").distinct().withColumn("cleaned", clean_name(F.col("raw_name")))
-    raw = raw.withColumn("ok", is_name(F.col("cleaned"), folder))
+    raw = checkpointed(raw.withColumn("ok", is_name(F.col("cleaned"), folder)))  # distinct names, read four times
     known = canonical.select(F.lower("name").alias("key"), "name")
     if aliases is not None:
         known = known.union(aliases.select(F.lower("alias"), "name"))
