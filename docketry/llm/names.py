@@ -239,6 +239,15 @@ def _spread(keys: DataFrame) -> DataFrame:
     return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key")
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """A side of a join that is sorted on both sides, never broadcast.
+
+    A plan takes exploded rows for as large as the compressed keys that they
+    are made of; broadcast on that guess, they would all pass the driver.
+    """
+    return side.hint("merge")
+
+
 def _exploded(keys: DataFrame, column: str, make) -> DataFrame:
     """(column, part): what ``make`` lists for each key of a column, in Arrow batches."""
 
@@ -293,10 +302,10 @@ def key_links(keys: DataFrame) -> DataFrame:
     f = _spread(keys.select("key")).mapInArrow(partial(_explode_forms, initials=False), "form string, key string, word string").select("form", "key")
     shared = f.groupBy("form").agg(F.count("*").alias("shared")).where("shared > 1").withColumn("tiles", F.ceil(F.col("shared") / TILE).cast("int"))
     own, other = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    f = f.join(shared, "form")
+    f = f.join(_large(shared), "form")
     left = f.select("form", "shared", F.col("key").alias("a"), own.alias("i"), other.alias("j"))
     right = f.select("form", F.col("key").alias("b"), other.alias("i"), own.alias("j"))
-    pairs = left.join(right, ["form", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.min("shared").alias("shared"))
+    pairs = left.join(_large(right), ["form", "i", "j"]).where("a < b").groupBy("a", "b").agg(F.min("shared").alias("shared"))
     return pairs.mapInArrow(_confirm, "u string, v string, score double")
 
 
@@ -317,8 +326,8 @@ def _best(scored: DataFrame) -> DataFrame:
     """(raw_key, entity) of the open names whose best entity leaves the next behind by ``MARGIN``."""
     one = scored.groupBy("raw_key", "entity").agg(F.max("score").alias("score"))
     top = one.groupBy("raw_key").agg(F.max(F.struct("score", "entity")).alias("b"))
-    rest = one.join(top, "raw_key").where(F.col("entity") != F.col("b.entity")).groupBy("raw_key").agg(F.max("score").alias("next"))
-    return top.join(rest, "raw_key", "left").where(F.col("b.score") >= MARGIN * F.coalesce("next", F.lit(0.0))).select("raw_key", "b.entity")
+    rest = one.join(_large(top), "raw_key").where(F.col("entity") != F.col("b.entity")).groupBy("raw_key").agg(F.max("score").alias("next"))
+    return top.join(_large(rest), "raw_key", "left").where(F.col("b.score") >= MARGIN * F.coalesce("next", F.lit(0.0))).select("raw_key", "b.entity")
 
 
 def entities(defendants: DataFrame) -> DataFrame:
@@ -337,23 +346,23 @@ def entities(defendants: DataFrame) -> DataFrame:
     slips = key_links(keys).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     same_row = rows.where("raw_full AND canon_full AND raw_key <> canon_key").select(F.least("raw_key", "canon_key").alias("u"), F.greatest("raw_key", "canon_key").alias("v"))
     found = groups(slips.union(same_row).distinct())
-    entity = cut(keys.join(found.select(F.col("id").alias("key"), "group_id"), "key", "left").select("key", F.coalesce("group_id", "key").alias("entity")))
-    sure = full.where("key IS NOT NULL").join(entity, "key").select("id", "entity")
+    entity = cut(keys.join(_large(found.select(F.col("id").alias("key"), "group_id")), "key", "left").select("key", F.coalesce("group_id", "key").alias("entity")))
+    sure = full.where("key IS NOT NULL").join(_large(entity), "key").select("id", "entity")
     # open names: join on what they do say, if only one entity says the same
-    says = _exploded(entity, "key", _parts).join(entity, "key").groupBy("part").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("part", "entity")
+    says = _exploded(entity, "key", _parts).join(_large(entity), "key").groupBy("part").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("part", "entity")
     none = full.where("key IS NULL")
-    exact = _exploded(none.select("raw_key").distinct(), "raw_key", _open_parts).join(says, "part").groupBy("raw_key").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("raw_key", "entity")
+    exact = _exploded(none.select("raw_key").distinct(), "raw_key", _open_parts).join(_large(says), "part").groupBy("raw_key").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where("entity = other").select("raw_key", "entity")
     # the surname may be misspelt, too: its forms meet those of the known keys
-    loose = none.where("raw_key LIKE 'P|%'").join(exact, "raw_key", "left_anti").select(F.col("raw_key").alias("key")).distinct()
+    loose = none.where("raw_key LIKE 'P|%'").join(_large(exact), "raw_key", "left_anti").select(F.col("raw_key").alias("key")).distinct()
     shape = "form string, key string, word string"
     theirs = _spread(entity.where("key LIKE 'P|%'").select("key")).mapInArrow(_explode_forms, shape).select("form", "key")
     shared = theirs.groupBy("form").agg(F.count("*").alias("shared"))
-    near = _spread(loose).mapInArrow(_explode_forms, shape).select("form", F.col("key").alias("raw_key")).join(theirs, "form").join(shared, "form").groupBy("raw_key", "key").agg(F.min("shared").alias("shared"))
-    close = _best(near.join(entity, "key").select("raw_key", "key", "entity", "shared").mapInArrow(_confirm_open, "raw_key string, entity string, score double"))
+    near = _spread(loose).mapInArrow(_explode_forms, shape).select("form", F.col("key").alias("raw_key")).join(_large(theirs), "form").join(_large(shared), "form").groupBy("raw_key", "key").agg(F.min("shared").alias("shared"))
+    close = _best(near.join(_large(entity), "key").select("raw_key", "key", "entity", "shared").mapInArrow(_confirm_open, "raw_key string, entity string, score double"))
     known = cut(exact.union(close))
-    open_ = none.join(known, "raw_key").select("id", "entity")
+    open_ = none.join(_large(known), "raw_key").select("id", "entity")
     # open names that fit no known entity are one among themselves if they are spelt alike
-    left = none.where("raw_key NOT LIKE 'A|%'").join(known.select("raw_key"), "raw_key", "left_anti").select("id", F.concat(F.lit("~"), "raw_key").alias("entity"))
+    left = none.where("raw_key NOT LIKE 'A|%'").join(_large(known.select("raw_key")), "raw_key", "left_anti").select("id", F.concat(F.lit("~"), "raw_key").alias("entity"))
     return sure.union(open_).union(left)
 
 
@@ -381,4 +390,4 @@ def _open_parts(key: str) -> list[str]:
 def pairs(found: DataFrame) -> DataFrame:
     """(id_a, id_b) of different rows of one entity; the join on the entity is split by adaptive execution where it is hot."""
     a, b = found.select(F.col("id").alias("id_a"), "entity"), found.select(F.col("id").alias("id_b"), "entity")
-    return a.join(b, "entity").where("id_a < id_b").select("id_a", "id_b")
+    return a.join(_large(b), "entity").where("id_a < id_b").select("id_a", "id_b")

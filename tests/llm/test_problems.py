@@ -289,6 +289,24 @@ def test_keys_of_a_form_all_meet(spark, monkeypatch, tile):
     assert ("P|smith|john", "P|smyth|john") in want and {(r.u, r.v) for r in names.key_links(df).collect()} == want
 
 
+def test_names_are_not_broadcast(spark, monkeypatch):
+    """Exploded rows look as small as their keys to a plan; none may pass the driver."""
+    plans = []
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stash(df)
+
+    monkeypatch.setattr(names, "cut", seen)
+    rows = [("1", "Samuel Wibomejurak", None), ("2", "Susan Wibomejuxak", None), ("3", "S. Wibomejurk", None), ("4", "Trubronili Mortgage Group", None), ("5", "Trubronnili Mortgage Group", None)]
+    d = spark.createDataFrame(rows, "id string, raw_name string, canonical_name string")
+    seen(names.pairs(names.entities(d)))
+    seen(names.key_links(stash(d.limit(0).select(F.col("id").alias("key")))))
+    own = [p for p in plans if "label" not in p]  # the others end in joins of ``components``
+    assert len(own) == 5 and not [p for p in own if "BroadcastExchange" in p]
+
+
 # --- 6 ---------------------------------------------------------------------------
 def test_repeated_lines(spark):
     rows = [(f"i{i}", "CA", f"Menu\nText {chr(97 + i % 26)}{chr(97 + i // 26)} here\n\nAll Rights 20{i}\n123", 1) for i in range(60)] + [("n", None, None, 1), ("e", "CA", "", 1), ("m", "CA", "MENU!\nmenu", 1)] + [(f"t{i}", "TX", "Menu", 1) for i in range(4)]
