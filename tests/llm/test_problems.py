@@ -146,6 +146,23 @@ def test_tiles_of_a_hot_block(spark, monkeypatch):
     assert neardup.member_pairs(sk, neardup.class_links(sk, 0.5, exact=True)).count() == 50 * 49 // 2
 
 
+@pytest.mark.parametrize("hot", [8192, 4])
+def test_pairs_at_the_threshold(spark, monkeypatch, hot):
+    """Of 300 pairs of similarity 0.5 none is left out, also where a shingle's classes are spread over tiles."""
+    monkeypatch.setattr(neardup, "HOT", hot)
+    docs = []
+    for k in range(300):
+        w = [f"a{k}x{i}" for i in range(62)]
+        docs += [(f"{k:03d}a", " ".join(w)), (f"{k:03d}b", " ".join([*w[:42], *(f"b{k}x{i}" for i in range(20))]))]
+    docs += [(f"s{i:02d}", " ".join([*(f"w{j}" for j in range(60)), *(f"y{i}z{j}" for j in range(28 + i % 5))])) for i in range(40)]
+    sh = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in docs for w in [t.split()]}
+    near = [x for x, _ in docs if x[0] == "s"]
+    want = {(f"{k:03d}a", f"{k:03d}b") for k in range(300)} | {(a, b) for a, b in itertools.combinations(near, 2) if 2 * len(sh[a] & sh[b]) >= len(sh[a] | sh[b])}
+    assert 300 < len(want) < 300 + 780
+    sk = stash(neardup.sketches(spark.createDataFrame(docs, "id string, text string"), "id", "text", 3))
+    assert {(r.id_a, r.id_b) for r in neardup.member_pairs(sk, neardup.class_links(sk, 0.5)).collect()} == want
+
+
 def test_recall_of_the_blocks(spark):
     """On a stored table the blocks find what all tiles find."""
     sk = neardup.page_sketches(spark.read.parquet(f"{DATA}/enforcement_actions.parquet"), 3)
