@@ -50,6 +50,20 @@ def test_site_lines():
     assert site.site_lines(*lines_of(wrapped)) == []
 
 
+def test_points_decide_among_links(monkeypatch):
+    """A sentence among links goes by its container's points, a paragraph between the same links stays; without points both stay."""
+    links, notice = "Home\nEspañol\nEvents Calendar\nVictim Services\nOpen Government\nContact\nCareers\nNewsroom\nFile a Complaint\n", "Notice: the Fairholm office is closed on July 7, 2022."
+    after = "\nHome > Publications > Press Releases\nFOR IMMEDIATE RELEASE\nContact: press@x.example\n(c) 2024 Office of the X. All rights reserved."
+    page = links + notice + after + "\n\n" + RELEASE + FOOT
+    kept = lambda t: [x for i, x in enumerate(t.split("\n"), 1) if x and i not in set(site.site_lines(*lines_of(t)))]
+    whole = [x for x in RELEASE.split("\n") if x]
+    assert kept(page) == whole and kept(links + whole[0] + after) == whole[:1]
+    last = "“We won,” Doe said."
+    assert kept(page.replace(FOOT, "\n\n" + last + after)) == [*whole, last]
+    monkeypatch.setattr(site, "LEAST_POINTS", 0.0)
+    assert kept(page) == [notice, *whole]
+
+
 @pytest.fixture(scope="module")
 def actions(spark):
     rng = random.Random(3)
