@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,39 @@ def test_pairs_at_the_threshold(spark, monkeypatch, hot):
     assert {(r.id_a, r.id_b) for r in neardup.member_pairs(sk, neardup.class_links(sk, 0.5)).collect()} == want
 
 
+def test_disk_of_the_links(spark, monkeypatch):
+    """No shuffle files stay; with many buckets the prefixes go in rounds, none of which sends much more than the sketches have, and the links are the same."""
+    docs = []
+    for k in range(120):
+        w = [f"a{k}x{i}" for i in range(62)]
+        docs += [(f"{k:03d}a", " ".join(w)), (f"{k:03d}b", " ".join([*w[: 42 + k % 20], *(f"b{k}x{i}" for i in range(20 - k % 20))]))]
+    sk = stash(neardup.sketches(spark.createDataFrame(docs, "id string, text string"), "id", "text", 3))
+
+    def files():
+        x = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x.apply(i).getName(): x.apply(i).length() for i in range(x.size())}
+
+    had = files()
+    links = neardup.class_links(sk, 0.5)
+    once = {(r.fa, r.fb, r.similarity) for r in links.collect()}
+    assert len(once) == 120
+    assert sum(v for k, v in files().items() if k not in had and k.startswith("shuffle_")) == 0
+
+    monkeypatch.setattr(neardup, "BUCKET", 400)
+    rows = [{"full": r.full, "g": bytes(r.grams)} for r in sk.collect()]
+    have, total = sum(len(r["g"]) for r in rows), sk.agg({"n": "sum"}).first()[0]
+    buckets = -(-total // 2 // 400)
+    rounds = neardup._rounds(total, len(rows), buckets, 0.5, spark.sparkContext.defaultParallelism)
+    batch, seen = pa.RecordBatch.from_pylist(rows), np.zeros(neardup.CELLS, np.uint32)
+
+    def sent(rounds, turn):
+        return sum(len(x) for b in neardup._prefixes(iter([batch]), 0.5, seen, 1, buckets, 8192, rounds, turn) for c in b.columns[1:] for x in c.to_pylist())
+
+    each = [sent(rounds, turn) for turn in range(rounds)]
+    assert rounds > 1 and sum(each) == sent(1, 0) > 2 * have and max(each) < 1.4 * have
+    assert {(r.fa, r.fb, r.similarity) for r in neardup.class_links(sk, 0.5).collect()} == once
+
+
 def test_recall_of_the_blocks(spark):
     """On a stored table the blocks find what all tiles find."""
     sk = neardup.page_sketches(spark.read.parquet(f"{DATA}/enforcement_actions.parquet"), 3)
